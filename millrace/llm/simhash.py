@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.tables import load
@@ -88,32 +88,26 @@ def near_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_RO
     width = 64 // parts
     base = width + 1
 
-    def cell(counts: list[Column]) -> Column:
-        code = counts[0].cast("long")
-        for c in counts[1:]:
-            code = code * base + c
-        return code
-
-    masks = [(((1 << width) - 1) << (width * i)) for i in range(parts)]
+    masks = [((1 << width) - 1) << (width * i) for i in range(parts)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    pops = [F.bit_count(F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for m in signed]
-    placed = distinct.select("fp", *[p.alias(f"p{i}") for i, p in enumerate(pops)])
-    placed = placed.withColumn("cell", cell([F.col(f"p{i}") for i in range(parts)]))
+    powers = [base**i for i in range(parts)]
+    placed = distinct.selectExpr("fp", *[f"bit_count(fp & {m}L) p{i}" for i, m in enumerate(signed)])
+    placed = placed.withColumn("cell", F.expr(" + ".join(f"p{i} * {b}L" for i, b in enumerate(powers))))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("tiles"))
 
     steps = [s for s in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, s)) <= radius]
     ahead = [s for s in steps if s > (0,) * parts]
-    inside = [
-        F.when(
-            F.forall(F.array(*[F.col(f"p{i}") + F.lit(s[i]) for i in range(parts)]), lambda x: x.between(0, width)),
-            cell([F.col(f"p{i}") + F.lit(s[i]) for i in range(parts)]),
+    inside = ", ".join(
+        "if({}, cell + {}L, null)".format(
+            " and ".join(f"p{i} + {d} between 0 and {width}" for i, d in enumerate(s) if d),
+            sum(d * b for d, b in zip(s, powers, strict=True)),
         )
         for s in ahead
-    ]
+    )
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     at_home = placed.join(sizes, "cell").select("cell", own.alias("tile"), "fp", "tiles")
     guests = (
-        placed.select("fp", F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("cell"))
+        placed.select("fp", F.explode(F.expr(f"array_compact(array({inside}))")).alias("cell"))
         .join(sizes, "cell")
         .select("cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "fp")
     )
@@ -220,8 +214,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         {"_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_none": F.col(id_col).isNull()}
     )
     first = keyed.join(chosen, ["_key", "_none"], "left_semi")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("_key", "_none").orderBy(F.xxhash64(text_col))
     return first.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
 
