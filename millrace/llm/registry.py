@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, linededup, mixing, simhash
+from millrace.llm import chat, langid, linededup, mixing, simhash, spm, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk": topk.op1_topk,
+        "op2_chat": chat.op2_chat,
+        "op3_sentencepiece": spm.op3_sentencepiece,
         "op4_langid": langid.op4_langid,
         "op6_mixing": mixing.op6_mixing,
         "op8_simhash": simhash.op8_simhash,
@@ -19,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL, "op9_linededup": linededup.OP9_SQL}
+    return {"op1_topk": topk.OP1_SQL, "op2_chat": chat.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op9_linededup": linededup.OP9_SQL}
