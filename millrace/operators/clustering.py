@@ -7,7 +7,7 @@ points is one scan without joins, and only sums come back to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -349,10 +349,10 @@ class SummarisingClusterer:
         return checkpointed(whole)
 
 
-def cluster_rounds(rounds: Iterator[DataFrame] | list[DataFrame], k: int, **options) -> tuple[DataFrame, list[RoundReport]]:
+def cluster_rounds(batches: Iterable[DataFrame], k: int, **options) -> tuple[DataFrame, list[RoundReport]]:
     """Labels of all points and the report of every round."""
     clusterer = SummarisingClusterer(k, **options)
-    for points in rounds:
+    for points in batches:
         clusterer.add_round(points)
     return clusterer.finish(), clusterer.reports
 

@@ -73,10 +73,10 @@ def item_rows(table: str) -> str:
     return f"SELECT p.item_id AS a, q.item_id AS b, p.stars AS x, q.stars AS y FROM {table} p JOIN {table} q ON p.user_id = q.user_id AND p.item_id < q.item_id"
 
 
-BOTH = "both AS (SELECT a AS me, b AS other, round(sim, 9) AS sim FROM model UNION ALL SELECT b, a, round(sim, 9) FROM model)"
+BOTH = "ways AS (SELECT a AS me, b AS other, round(sim, 9) AS sim FROM model UNION ALL SELECT b, a, round(sim, 9) FROM model)"
 ITEM_PRED = """
 near AS (SELECT t.user_id, t.item_id, e.other, e.sim, p.stars FROM test t JOIN train p ON p.user_id = t.user_id
-  JOIN both e ON e.me = t.item_id AND e.other = p.item_id),
+  JOIN ways e ON e.me = t.item_id AND e.other = p.item_id),
 best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC, other) <= 7),
 pred AS (SELECT user_id, item_id, sum(sim * stars) / sum(sim) AS pred FROM best GROUP BY user_id, item_id)"""
 USER_MODEL = (
@@ -187,7 +187,7 @@ SELECT user_id, item_id, round(pred, 5) AS pred FROM pred""",
 WITH r AS ({PARTS}), train AS ({TRAIN}), test AS ({TEST}), {USER_MODEL.format(t='train')}, {BOTH},
 um AS (SELECT user_id, avg(stars) AS mean FROM train GROUP BY user_id), im AS (SELECT item_id, avg(stars) AS item_mean FROM train GROUP BY item_id),
 near AS (SELECT t.user_id, t.item_id, e.other, e.sim, p.stars - um.mean AS d FROM test t JOIN train p ON p.item_id = t.item_id
-  JOIN both e ON e.me = t.user_id AND e.other = p.user_id JOIN um ON um.user_id = p.user_id),
+  JOIN ways e ON e.me = t.user_id AND e.other = p.user_id JOIN um ON um.user_id = p.user_id),
 best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY sim DESC, other) <= 5),
 sh AS (SELECT user_id, item_id, sum(sim * d) / sum(abs(sim)) AS shift FROM best GROUP BY user_id, item_id)
 SELECT user_id, item_id, round(coalesce(mean + shift, item_mean), 5) AS pred FROM test LEFT JOIN sh USING (user_id, item_id)
