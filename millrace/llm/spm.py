@@ -19,11 +19,15 @@ pieces share one rank, so that one pass over ranks does not order them.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +37,10 @@ from millrace.scratch import materialize
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-HOT_WORDS = 1 << 18
+HOT_WORDS = 1 << 19
 LONG = 256
+BITS = 9
+STOPS = ".,"
 #: Fixed values of the model file format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -122,29 +128,90 @@ def read_model(path: str = MODEL_PATH) -> PieceModel:
 
 
 def split_words(text: Column, model: PieceModel) -> Column:
-    """Array of the stretches that are encoded on their own; null when the text
-    is null or empty. Blanks are written as U+2581, one is put in front."""
+    """Array of the stretches that are encoded on their own, and empty texts
+    between them; null when the text is null or empty. Blanks are written as
+    U+2581, one is put in front.
+
+    Most texts are cut at blanks and newlines and before stops, which needs no
+    pattern. A text where that would cut a piece (runs of blanks, a stop behind
+    a character that some piece joins to it) is cut by the model's pattern.
+    """
     prefix = F.lit(BLANK) if model.dummy_prefix else F.lit("")
-    marked = F.concat(prefix, F.replace(text, F.lit(" "), F.lit(BLANK)))
-    parts = F.filter(F.split(marked, model.cut_pattern(), -1), lambda x: x != "")
-    return F.when(F.length(text) > 0, parts)
+    pattern = model.cut_pattern()
+    marked = F.concat(prefix, F.replace(text, F.lit(" "), F.lit(" " + BLANK)))
+    if r"\n" in pattern:
+        marked = F.replace(marked, F.lit("\n"), F.lit(" \n "))
+    care = f"  |{BLANK}|^ "
+    for stop in STOPS:
+        behind = {p[i - 1] for p, _, _ in model.usable for i in range(1, len(p)) if p[i] == stop}
+        care += f"|[{re.escape(''.join(sorted(behind | {BLANK})).replace(BLANK, ' '))}]{re.escape(stop)}"
+        marked = F.replace(marked, F.lit(stop), F.lit(" " + stop))
+    quick = F.split(marked, " ", -1)
+    exact = F.split(F.concat(prefix, F.replace(text, F.lit(" "), F.lit(BLANK))), pattern, -1)
+    return F.when(F.length(text) > 0, F.when(text.rlike(care), exact).otherwise(quick))
+
+
+def ranked(model: PieceModel) -> list[tuple[str, int, float]]:
+    """Pieces by score, best first; the place in this list is a piece's rank."""
+    return sorted(model.usable, key=lambda p: (-p[2], p[1]))
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, edges): all pieces in each word, as structs of ``s`` (start, from
-    1), ``l`` (characters), ``id`` and ``score``. A word without a known piece
-    has one edge with id -1 and no characters."""
-    spark = words.sparkSession
+    """``words`` (word, n) with ``edges``: all pieces in each word, as sorted
+    numbers that hold rank, start (from 1) and length of a piece. A word without
+    a known piece has the single edge -1.
+
+    The edges of a word leave the explode and the broadcast join one after the
+    other, so they are grouped as they come, without a shuffle or a sort of all
+    edges, and only one batch is held.
+    """
     longest = max((len(p) for p, _, _ in model.usable), default=1)
-    table = pd.DataFrame([("", -1, 0.0), *model.usable], columns=["piece", "id", "score"])
+    table = pd.DataFrame([("", -1), *((p, i) for i, (p, _, _) in enumerate(ranked(model)))], columns=["piece", "rank"])
     # the size of the vocabulary bounds what is broadcast
-    pieces = F.broadcast(spark.createDataFrame(table, "piece string, id int, score double"))
-    starts = words.select("word", F.explode(F.expr("sequence(1, char_length(word))")).alias("s"))
+    pieces = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, rank long"))
+    starts = words.select("word", "n", F.explode(F.expr("sequence(1, char_length(word))")).alias("s"))
     lengths = f"sequence(if(s = 1, 0, 1), least({longest}, char_length(word) - s + 1))"
-    spans = starts.select("word", "s", F.explode(F.expr(lengths)).alias("l"))
+    spans = starts.select("word", "n", "s", F.explode(F.expr(lengths)).alias("l"))
     spans = spans.withColumn("piece", F.expr("substring(word, s, l)"))
-    edges = spans.join(pieces, "piece").select("word", F.struct("s", "l", "id", "score").alias("edge"))
-    return edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
+    edge = F.expr(f"if(rank < 0, -1L, rank * {1 << 2 * BITS}L + s * {1 << BITS} + l)")
+    edges = spans.join(pieces, "piece").select("word", "n", edge.alias("edge"))
+    return edges.mapInArrow(_group_runs, "word string, n long, edges array<bigint>")
+
+
+def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, n, edge) to one row for each run of a word, its edges sorted."""
+    names, held = ["word", "n", "edges"], None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
+        word, n, edge = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in table.columns)
+        if not len(word):
+            continue
+        new = np.flatnonzero(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)) + 1
+        starts = np.concatenate(([0], new))
+        last = int(starts[-1])
+        if last:
+            yield _runs(word.slice(0, last), n.slice(0, last), edge.slice(0, last), starts[:-1], names)
+        held = table.slice(last).to_batches()
+    if held:
+        word, n, edge = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        yield _runs(word, n, edge, np.array([0]), names)
+
+
+def _runs(word: pa.Array, n: pa.Array, edge: pa.Array, starts: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    bounds = np.append(starts, len(word)).astype(np.int32)
+    values = edge.to_numpy()
+    order = np.lexsort((values, np.repeat(np.arange(len(starts)), np.diff(bounds))))
+    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order]))
+    at = pa.array(starts)
+    return pa.RecordBatch.from_arrays([word.take(at), n.take(at), lists], names)
+
+
+def _start(e: str) -> str:
+    return f"cast(shiftright({e}, {BITS}) & {(1 << BITS) - 1} as int)"
+
+
+def _length(e: str) -> str:
+    return f"cast({e} & {(1 << BITS) - 1} as int)"
 
 
 def _spelled(model: PieceModel) -> str:
@@ -158,64 +225,62 @@ def _spelled(model: PieceModel) -> str:
 
 
 def fold_merges(model: PieceModel) -> str:
-    """SQL over ``word`` and ``edges``: ids by BPE.
+    """SQL over ``word`` and ``edges``: borders of the pieces by BPE.
 
-    The state is the list of symbol borders. Pieces are taken in order of rank,
-    then place; one that consists of two symbols just now merges them. One pass
-    is enough: a piece's parts rank before it.
+    The state is the list of symbol borders. Edges come in order of rank, then
+    place; one that consists of two symbols just now merges them. One pass is
+    enough: a piece's parts rank before it.
     """
-    order = "array_sort(filter(edges, e -> e.l > 1), (x, y) -> case when x.score > y.score then -1 when x.score < y.score then 1 else x.s - y.s end)"
-    at = "array_position(b, e.s)"
-    merge = (
-        f"if({at} > 0 and array_position(b, e.s + e.l) = {at} + 2, "
-        f"array_remove(b, element_at(b, cast({at} + 1 as int))), b)"
-    )
-    borders = f"aggregate({order}, sequence(1, char_length(word) + 1), (b, e) -> {merge})"
-    symbols = f"transform({borders}, (x, i) -> x)"
-    return _symbols_to_ids(f"{symbols}", model)
-
-
-def _symbols_to_ids(borders: str, model: PieceModel) -> str:
-    pairs = f"arrays_zip(slice(bb, 1, size(bb) - 1), slice(bb, 2, size(bb) - 1))"
-    known = "filter(edges, e -> e.s = p['0'] and e.l = p['1'] - p['0'])"
-    one = (
-        f"transform(array(substring(word, p['0'], p['1'] - p['0'])), c -> "
-        f"transform({known}, e -> e.id))[0]"
-    )
-    spelled = f"transform(array(substring(word, p['0'], p['1'] - p['0'])), c -> {_spelled(model)})[0]"
-    body = f"flatten(transform({pairs}, p -> if(exists(edges, e -> e.s = p['0'] and e.l = p['1'] - p['0']), {one}, {spelled})))"
-    return f"transform(array({borders}), bb -> {body})[0]"
+    s, l = _start("e"), _length("e")
+    at = f"array_position(b, {s})"
+    merge = f"if({at} > 0 and array_position(b, {s} + {l}) = {at} + 2, array_remove(b, element_at(b, cast({at} + 1 as int))), b)"
+    return f"aggregate(edges, sequence(1, char_length(word) + 1), (b, e) -> if({l} < 2, b, {merge}))"
 
 
 def fold_viterbi(model: PieceModel) -> str:
-    """SQL over ``word`` and ``edges``: ids on the path of the best score sum.
+    """SQL over ``word`` and ``edges``: borders on the path of the best score sum.
 
     Edges are taken by end; the state holds for each border the best sum so far
     and where its last piece began. A character that is no piece costs
     UNKNOWN_PENALTY more than the worst piece. Ties go to the earlier start.
     """
-    worst = min((s for _, _, s in model.usable), default=0.0) - UNKNOWN_PENALTY
-    singles = f"transform(sequence(1, char_length(word)), s -> named_struct('s', s, 'l', 1, 'id', -1, 'score', {worst}D))"
-    alone = f"filter({singles}, x -> not exists(edges, e -> e.s = x.s and e.l = 1))"
-    order = f"array_sort(concat(filter(edges, e -> e.l > 0), {alone}), (x, y) -> case when x.s + x.l <> y.s + y.l then x.s + x.l - y.s - y.l else x.s - y.s end)"
-    new = "named_struct('sum', b[e.s - 1].sum + e.score, 'frm', e.s)"
+    scores = [s for _, _, s in ranked(model)]
+    worst = min(scores, default=0.0) - UNKNOWN_PENALTY
+    table = "split('" + " ".join(map(repr, scores)) + "', ' ')"
+    known = (
+        f"transform(filter(edges, e -> e >= 0), e -> named_struct('e', {_start('e')} + {_length('e')}, 's', {_start('e')}, "
+        f"'score', cast(element_at({table}, cast(shiftright(e, {2 * BITS}) as int) + 1) as double)))"
+    )
+    alone = f"transform(sequence(1, char_length(word)), s -> named_struct('e', s + 1, 's', s, 'score', {worst}D))"
+    new = "named_struct('sum', b[x.s - 1].sum + x.score, 'frm', x.s)"
     step = (
-        f"case when size(b) < e.s + e.l then concat(b, array({new})) "
-        f"when b[e.s + e.l - 1].sum < b[e.s - 1].sum + e.score then concat(slice(b, 1, size(b) - 1), array({new})) else b end"
+        f"case when size(b) < x.e then concat(b, array({new})) "
+        f"when b[x.e - 1].sum < b[x.s - 1].sum + x.score then concat(slice(b, 1, size(b) - 1), array({new})) else b end"
     )
-    best = f"aggregate({order}, array(named_struct('sum', 0D, 'frm', 0)), (b, e) -> {step})"
+    best = f"aggregate(array_sort(concat({known}, {alone})), array(named_struct('sum', 0D, 'frm', 0)), (b, x) -> {step})"
     back = "aggregate(best, array(size(best)), (a, z) -> if(a[0] = 1, a, concat(array(best[a[0] - 1].frm), a)))"
-    return _symbols_to_ids(f"transform(array({best}), best -> {back})[0]", model)
+    return f"transform(array({best}), best -> {back})[0]"
+
+
+def border_ids(model: PieceModel) -> str:
+    """SQL over ``word``, ``edges`` and ``borders``: the ids of the pieces."""
+    ids = "split('" + " ".join(str(i) for _, i, _ in ranked(model)) + "', ' ')"
+    place = "array_position(keys, cast(borders[i] as bigint) * {0} + borders[i + 1] - borders[i])".format(1 << BITS)
+    known = f"array(cast(element_at({ids}, cast(shiftright(edges[cast(p as int) - 1], {2 * BITS}) as int) + 1) as int))"
+    spelled = f"transform(array(substring(word, borders[i], borders[i + 1] - borders[i])), c -> {_spelled(model)})[0]"
+    one = f"transform(array({place}), p -> if(p > 0, {known}, {spelled}))[0]"
+    keys = f"transform(edges, e -> e & {(1 << 2 * BITS) - 1}L)"
+    return f"transform(array({keys}), keys -> flatten(transform(sequence(0, size(borders) - 2), i -> {one})))[0]"
 
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, ids) for distinct, non-empty words."""
+    """(word, n, ids) for distinct, non-empty words."""
     foldable = F.char_length("word") <= LONG
     if model.kind == BPE:
         foldable = foldable & ~F.contains("word", F.lit(BLANK * 2))
     short = lattice(words.where(foldable), model)
     fold = fold_merges(model) if model.kind == BPE else fold_viterbi(model)
-    folded = short.select("word", F.expr(fold).alias("ids"))
+    folded = short.withColumn("borders", F.expr(fold)).select("word", "n", F.expr(border_ids(model)).alias("ids"))
     proto = model.proto
 
     def by_library(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,11 +290,10 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
         lead = processor.encode("\n")
         for frame in frames:
             # a newline ends every word, so that what follows it is encoded as it stands
-            ids = [processor.encode("\n" + w)[len(lead) :] for w in frame["word"]]
-            yield pd.DataFrame({"word": frame["word"], "ids": ids})
+            yield frame.assign(ids=[processor.encode("\n" + w)[len(lead) :] for w in frame["word"]])
 
-    long = words.where(~foldable).select("word")
-    return folded.unionByName(long.mapInPandas(by_library, "word string, ids array<int>"))
+    long = words.where(~foldable).select("word", "n")
+    return folded.unionByName(long.mapInPandas(by_library, "word string, n long, ids array<int>"))
 
 
 def decode(ids: Column, model: PieceModel) -> Column:
@@ -251,31 +315,33 @@ def restore(text: Column, model: PieceModel) -> Column:
 def occurrences(docs: DataFrame, model: PieceModel, id_col: str, text_col: str) -> DataFrame:
     """(id, h, pos, word): the words of every text in order; one row with null
     ``pos`` and ``word`` for a null or empty text. ``h`` tells apart texts of
-    one id."""
-    return docs.select(
+    one id; where no id repeats it is 0."""
+    several = not docs.groupBy(F.col(id_col)).count().where("count > 1").isEmpty()
+    spots = docs.select(
         F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("h"),
+        (F.xxhash64(text_col) if several else F.lit(0).cast("long")).alias("h"),
         F.posexplode_outer(split_words(F.col(text_col), model)).alias("pos", "word"),
     )
+    return spots.where("word is null or word <> ''")
 
 
-def dictionary(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
-    """(word, n, ids, n_bytes, digest, exact) for every distinct word of the texts."""
+def dictionary(docs: DataFrame, model: PieceModel, text_col: str = "text", columns: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """(word, n, *columns) for every distinct word of the texts, the columns
+    being of: ids, n_pieces, n_bytes, digest, exact (the decoded ids spell it)."""
     words = (
         docs.select(F.explode(split_words(F.col(text_col), model)).alias("word"))
-        .groupBy("word").agg(F.count("*").alias("n"))
+        .where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     )
-    counted = materialize(words)
-    coded = encode_words(counted.repartition("word").select("word"), model)
     first = (model.byte_ids or [len(model.pieces)])[0]
-    coded = coded.select(
-        "word",
-        "ids",
-        F.size(F.filter("ids", lambda i: i.between(first, first + 255))).alias("n_bytes"),
-        F.xxhash64("ids").alias("digest"),
-        (decode(F.col("ids"), model) == F.col("word")).alias("exact"),
+    coded = encode_words(words, model).withColumns(
+        {
+            "n_pieces": F.size("ids"),
+            "n_bytes": F.size(F.filter("ids", lambda i: i.between(first, first + 255))),
+            "digest": F.xxhash64("ids"),
+            "exact": decode(F.col("ids"), model) == F.col("word"),
+        }
     )
-    return materialize(coded.join(counted, "word"))
+    return materialize(coded.select("word", "n", *columns))
 
 
 def pieces_of(docs: DataFrame, words: DataFrame, model: PieceModel, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -288,11 +354,13 @@ def pieces_of(docs: DataFrame, words: DataFrame, model: PieceModel, columns: lis
     hot = words.where(F.col("n") > least)
     if hot.count() > HOT_WORDS:
         raise ValueError("more words than the bound would be broadcast")
+    hot = F.broadcast(hot.select("word", *columns, F.lit(True).alias("_hot")))
     spots = occurrences(docs, model, id_col, text_col)
-    frequent = spots.join(F.broadcast(hot.select("word", *columns)), "word")
-    hot_words = F.broadcast(hot.select("word"))
-    others = spots.join(hot_words, "word", "left_anti").join(words.where(F.col("n") <= least).select("word", *columns), "word", "left")
-    return frequent, others
+    frequent = spots.join(hot, "word").drop("_hot")
+    others = spots.join(hot, "word", "left").where("_hot is null").select("id", "h", "pos", "word")
+    if least == 0:
+        return frequent, others.select("*", *[F.lit(None).cast(words.schema[c].dataType).alias(c) for c in columns])
+    return frequent, others.join(words.where(F.col("n") <= least).select("word", *columns), "word", "left")
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,10 +389,9 @@ def encoding_report(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     decodes to a blank there, as the format has it. Repeated rows stay.
     Columns other than the two named are ignored.
     """
-    words = dictionary(docs, model, text_col)
-    slim = words.select("word", "n", F.size("ids").alias("n_pieces"), "n_bytes", "digest", "exact")
     columns = ["n_pieces", "n_bytes", "digest", "exact"]
-    frequent, others = pieces_of(docs, slim, model, columns, id_col, text_col)
+    words = dictionary(docs, model, text_col, tuple(columns))
+    frequent, others = pieces_of(docs, words, model, columns, id_col, text_col)
 
     def summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy("id", "h").agg(
