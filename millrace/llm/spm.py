@@ -286,11 +286,13 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
     def by_library(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import sentencepiece
 
-        processor = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        lead = processor.encode("\n")
+        processor = lead = None
         for frame in frames:
+            if processor is None and len(frame):
+                processor = sentencepiece.SentencePieceProcessor(model_proto=proto)
+                lead = len(processor.encode("\n"))
             # a newline ends every word, so that what follows it is encoded as it stands
-            yield frame.assign(ids=[processor.encode("\n" + w)[len(lead) :] for w in frame["word"]])
+            yield frame.assign(ids=[processor.encode("\n" + w)[lead:] for w in frame["word"]])
 
     long = words.where(~foldable).select("word", "n")
     return folded.unionByName(long.mapInPandas(by_library, "word string, n long, ids array<int>"))
