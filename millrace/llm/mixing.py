@@ -90,12 +90,13 @@ def order_key(seed: int, epoch: Column, id_col: str) -> Column:
 def cuts(base: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Per leaf: ``passes`` (whole passes) and ``cut`` (the last order key of
     the partial pass ``passes``; null where it takes nothing)."""
-    leaf = plan.withColumns(
+    # written, so that its size is known and the join need not deal out a hot leaf
+    leaf = materialize(plan.withColumns(
         {
             "passes": F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.lit(0)).cast("long"),
             "rest": F.when(F.col("tokens") > 0, F.col("alloc") % F.col("tokens")).otherwise(F.lit(0)).cast("long"),
         }
-    ).select(*LEAF, "passes", "rest")
+    ).select(*LEAF, "passes", "rest"))
     keyed = (
         base.join(leaf, LEAF)
         .withColumn("key", order_key(seed, F.col("passes"), "id"))
@@ -109,7 +110,7 @@ def cuts(base: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     )
     whole = ranges.where("upto <= rest").groupBy(*LEAF).agg(F.max("last").alias("cut"))
     split = ranges.where("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("rng", (F.col("upto") - F.col("t")).alias("before"))).alias("m"))
-    split = split.select(*LEAF, "m.rng", "m.before")
+    split = materialize(split.select(*LEAF, "m.rng", "m.before"))
     inside = (
         keyed.join(split, [*LEAF, "rng"])
         .withColumn("upto", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEAF, "rng").orderBy("key")))
