@@ -31,6 +31,7 @@ GRAMS = (2, 3, 4)
 DIM = 16
 SAMPLE_PER_LANG = 500
 MAX_LANGS = 256
+HASH_RANGE = 1 << 31
 EPOCHS = 3
 RATE = 0.3
 REJECT_BELOW = 0.5
@@ -158,20 +159,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on at most SAMPLE_PER_LANG rows of each of the MAX_LANGS most
     frequent languages of the training folds, taken in hash order of the id.
 
-    The ranking reads ids and languages only; Spark drops rows beyond the limit
-    before the shuffle. The texts of the sample then come by a join.
+    The ranking reads ids and languages only, and of each language only as many
+    of the lowest hashes as hold the sample, so that a frequent language gives
+    its task no more rows than another. The texts of the sample then come by a
+    join.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~fold_of(id_col))
     usable = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    top = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    top = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    order = Window.partitionBy("lang").orderBy("hash", "id")
+    low = F.pmod(F.col("hash"), F.lit(HASH_RANGE)) <= F.lit(2.0 * SAMPLE_PER_LANG * HASH_RANGE) / F.col("n")
     ranked = (
-        usable.select("id", "lang").join(F.broadcast(top), "lang", "left_semi")
+        usable.select("id", "lang", F.xxhash64("id").alias("hash")).join(F.broadcast(top), "lang").where(low)
         .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANG)
     )
-    # at most SAMPLE_PER_LANG * MAX_LANGS ids
-    chosen = F.broadcast(ranked.select("id", "lang", "rank").distinct())
-    picked = usable.join(chosen, ["id", "lang"]).select("lang", "rank", "id", "text")
+    # at most SAMPLE_PER_LANG * MAX_LANGS ids, each with one text
+    chosen = F.broadcast(ranked.groupBy("id", "lang").agg(F.min("rank").alias("rank")))
+    picked = usable.join(chosen, ["id", "lang"]).groupBy("id", "lang", "rank").agg(F.min("text").alias("text"))
     rows = sorted(picked.collect(), key=lambda r: (r["rank"], r["lang"], r["text"]))
     return fit([(r["text"], r["lang"]) for r in rows])
 
