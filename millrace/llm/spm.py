@@ -9,9 +9,9 @@ merges in order of their rank, because the path of the best rank sum is not
 what a BPE model means (README has figures). Occurrences then meet their
 word's pieces by joins.
 
-Skew and size: the words that occur most often, at most HOT_WORDS, are
-broadcast, so frequent words never meet in one task; all others go through a
-shuffled join. Two kinds of rare words are encoded by the tokenizer library in
+Skew and size: the words that are most frequent in a sample, at most HOT_WORDS,
+are encoded first and broadcast, so frequent words never meet in one task; all
+others go through a shuffled join. Two kinds of rare words are encoded by the tokenizer library in
 Arrow batches instead: those longer than LONG characters, as a fold over a
 lattice takes quadratic time, and under BPE those with runs of blanks, whose
 pieces share one rank, so that one pass over ranks does not order them.
@@ -37,9 +37,13 @@ from millrace.scratch import materialize
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-HOT_WORDS = 1 << 19
+HOT_WORDS = 1 << 18
+SAMPLE_TEXTS = 8192
+HASH_RANGE = 1 << 31
+WORDS_PER_TASK = 1 << 15
 LONG = 256
-BITS = 9
+#: Bits of an edge that hold start and length, each, and the id of its piece.
+BITS, ID_BITS = 9, 17
 STOPS = ".,"
 #: Fixed values of the model file format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
@@ -157,53 +161,56 @@ def ranked(model: PieceModel) -> list[tuple[str, int, float]]:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``words`` (word, n) with ``edges``: all pieces in each word, as sorted
-    numbers that hold rank, start (from 1) and length of a piece. A word without
-    a known piece has the single edge -1.
+    """``words`` (word) with ``edges``: all pieces in each word, as sorted
+    numbers that hold rank, id, start (from 1) and length of a piece. A word
+    without a known piece has the single edge -1.
 
     The edges of a word leave the explode and the broadcast join one after the
     other, so they are grouped as they come, without a shuffle or a sort of all
     edges, and only one batch is held.
     """
     longest = max((len(p) for p, _, _ in model.usable), default=1)
-    table = pd.DataFrame([("", -1), *((p, i) for i, (p, _, _) in enumerate(ranked(model)))], columns=["piece", "rank"])
+    if len(model.pieces) >= 1 << ID_BITS:
+        raise ValueError("the vocabulary is too large for the packed edges")
+    codes = [(p, ((rank << ID_BITS) + i) << 2 * BITS) for rank, (p, i, _) in enumerate(ranked(model))]
+    table = pd.DataFrame([("", -1), *codes], columns=["piece", "code"])
     # the size of the vocabulary bounds what is broadcast
-    pieces = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, rank long"))
-    starts = words.select("word", "n", F.explode(F.expr("sequence(1, char_length(word))")).alias("s"))
+    pieces = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, code long"))
+    starts = words.select("word", F.explode(F.expr("sequence(1, char_length(word))")).alias("s"))
     lengths = f"sequence(if(s = 1, 0, 1), least({longest}, char_length(word) - s + 1))"
-    spans = starts.select("word", "n", "s", F.explode(F.expr(lengths)).alias("l"))
+    spans = starts.select("word", "s", F.explode(F.expr(lengths)).alias("l"))
     spans = spans.withColumn("piece", F.expr("substring(word, s, l)"))
-    edge = F.expr(f"if(rank < 0, -1L, rank * {1 << 2 * BITS}L + s * {1 << BITS} + l)")
-    edges = spans.join(pieces, "piece").select("word", "n", edge.alias("edge"))
-    return edges.mapInArrow(_group_runs, "word string, n long, edges array<bigint>")
+    edge = F.expr(f"if(code < 0, -1L, code + s * {1 << BITS} + l)")
+    edges = spans.join(pieces, "piece").select("word", edge.alias("edge"))
+    return edges.mapInArrow(_group_runs, "word string, edges array<bigint>")
 
 
 def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, n, edge) to one row for each run of a word, its edges sorted."""
-    names, held = ["word", "n", "edges"], None
+    """Rows (word, edge) to one row for each run of a word, its edges sorted."""
+    held = None
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
-        word, n, edge = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in table.columns)
+        word, edge = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in table.columns)
         if not len(word):
             continue
         new = np.flatnonzero(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)) + 1
         starts = np.concatenate(([0], new))
         last = int(starts[-1])
         if last:
-            yield _runs(word.slice(0, last), n.slice(0, last), edge.slice(0, last), starts[:-1], names)
+            yield _runs(word.slice(0, last), edge.slice(0, last), starts[:-1])
         held = table.slice(last).to_batches()
     if held:
-        word, n, edge = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
-        yield _runs(word, n, edge, np.array([0]), names)
+        word, edge = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        yield _runs(word, edge, np.array([0]))
 
 
-def _runs(word: pa.Array, n: pa.Array, edge: pa.Array, starts: np.ndarray, names: list[str]) -> pa.RecordBatch:
+def _runs(word: pa.Array, edge: pa.Array, starts: np.ndarray) -> pa.RecordBatch:
     bounds = np.append(starts, len(word)).astype(np.int32)
     values = edge.to_numpy()
     order = np.lexsort((values, np.repeat(np.arange(len(starts)), np.diff(bounds))))
     lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order]))
     at = pa.array(starts)
-    return pa.RecordBatch.from_arrays([word.take(at), n.take(at), lists], names)
+    return pa.RecordBatch.from_arrays([word.take(at), lists], ["word", "edges"])
 
 
 def _start(e: str) -> str:
@@ -249,7 +256,7 @@ def fold_viterbi(model: PieceModel) -> str:
     table = "split('" + " ".join(map(repr, scores)) + "', ' ')"
     known = (
         f"transform(filter(edges, e -> e >= 0), e -> named_struct('e', {_start('e')} + {_length('e')}, 's', {_start('e')}, "
-        f"'score', cast(element_at({table}, cast(shiftright(e, {2 * BITS}) as int) + 1) as double)))"
+        f"'score', cast(element_at({table}, cast(shiftright(e, {2 * BITS + ID_BITS}) as int) + 1) as double)))"
     )
     alone = f"transform(sequence(1, char_length(word)), s -> named_struct('e', s + 1, 's', s, 'score', {worst}D))"
     new = "named_struct('sum', b[x.s - 1].sum + x.score, 'frm', x.s)"
@@ -264,9 +271,8 @@ def fold_viterbi(model: PieceModel) -> str:
 
 def border_ids(model: PieceModel) -> str:
     """SQL over ``word``, ``edges`` and ``borders``: the ids of the pieces."""
-    ids = "split('" + " ".join(str(i) for _, i, _ in ranked(model)) + "', ' ')"
     place = "array_position(keys, cast(borders[i] as bigint) * {0} + borders[i + 1] - borders[i])".format(1 << BITS)
-    known = f"array(cast(element_at({ids}, cast(shiftright(edges[cast(p as int) - 1], {2 * BITS}) as int) + 1) as int))"
+    known = f"array(cast(shiftright(edges[cast(p as int) - 1], {2 * BITS}) & {(1 << ID_BITS) - 1}L as int))"
     spelled = f"transform(array(substring(word, borders[i], borders[i + 1] - borders[i])), c -> {_spelled(model)})[0]"
     one = f"transform(array({place}), p -> if(p > 0, {known}, {spelled}))[0]"
     keys = f"transform(edges, e -> e & {(1 << 2 * BITS) - 1}L)"
@@ -274,13 +280,13 @@ def border_ids(model: PieceModel) -> str:
 
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, n, ids) for distinct, non-empty words."""
+    """(word, ids) for distinct, non-empty words."""
     foldable = F.char_length("word") <= LONG
     if model.kind == BPE:
         foldable = foldable & ~F.contains("word", F.lit(BLANK * 2))
     short = lattice(words.where(foldable), model)
     fold = fold_merges(model) if model.kind == BPE else fold_viterbi(model)
-    folded = short.withColumn("borders", F.expr(fold)).select("word", "n", F.expr(border_ids(model)).alias("ids"))
+    folded = short.withColumn("borders", F.expr(fold)).select("word", F.expr(border_ids(model)).alias("ids"))
     proto = model.proto
 
     def by_library(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,8 +300,8 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
             # a newline ends every word, so that what follows it is encoded as it stands
             yield frame.assign(ids=[processor.encode("\n" + w)[lead:] for w in frame["word"]])
 
-    long = words.where(~foldable).select("word", "n")
-    return folded.unionByName(long.mapInPandas(by_library, "word string, n long, ids array<int>"))
+    long = words.where(~foldable).select("word")
+    return folded.unionByName(long.mapInPandas(by_library, "word string, ids array<int>"))
 
 
 def decode(ids: Column, model: PieceModel) -> Column:
@@ -303,9 +309,19 @@ def decode(ids: Column, model: PieceModel) -> Column:
     spelled = []
     for piece, _, kind in model.pieces:
         raw = bytes([int(piece[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else piece.encode()
-        spelled.append(raw.hex())
-    table = F.expr("split('" + " ".join(spelled) + "', ' ')")
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")), "UTF-8")
+        spelled.append(raw)
+
+    @F.arrow_udf("binary")
+    def joined(lists: pa.Array) -> pa.Array:
+        parts = pa.array(spelled, pa.large_binary()).take(lists.flatten())
+        ends = np.frombuffer(parts.buffers()[1], np.int64)[: len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
+        data = parts.buffers()[2] if len(parts) else pa.py_buffer(b"")
+        texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(bounds.tobytes()), data])
+        return texts.cast(pa.binary())
+
+    return F.decode(joined(ids), "UTF-8")
 
 
 def restore(text: Column, model: PieceModel) -> Column:
@@ -327,15 +343,11 @@ def occurrences(docs: DataFrame, model: PieceModel, id_col: str, text_col: str)
     return spots.where("word is null or word <> ''")
 
 
-def dictionary(docs: DataFrame, model: PieceModel, text_col: str = "text", columns: tuple[str, ...] = ("ids",)) -> DataFrame:
-    """(word, n, *columns) for every distinct word of the texts, the columns
-    being of: ids, n_pieces, n_bytes, digest, exact (the decoded ids spell it)."""
-    words = (
-        docs.select(F.explode(split_words(F.col(text_col), model)).alias("word"))
-        .where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
-    )
+def with_columns(coded: DataFrame, model: PieceModel, columns: list[str]) -> DataFrame:
+    """(word, *columns) of encoded words, the columns being of: ids, n_pieces,
+    n_bytes, digest, exact (the decoded ids spell the word)."""
     first = (model.byte_ids or [len(model.pieces)])[0]
-    coded = encode_words(words, model).withColumns(
+    whole = coded.withColumns(
         {
             "n_pieces": F.size("ids"),
             "n_bytes": F.size(F.filter("ids", lambda i: i.between(first, first + 255))),
@@ -343,26 +355,40 @@ def dictionary(docs: DataFrame, model: PieceModel, text_col: str = "text", colum
             "exact": decode(F.col("ids"), model) == F.col("word"),
         }
     )
-    return materialize(coded.select("word", "n", *columns))
-
-
-def pieces_of(docs: DataFrame, words: DataFrame, model: PieceModel, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Occurrences with ``columns`` of their word: those of frequent words, and
-    the others (which also hold the rows of empty texts)."""
-    total = words.count()
-    least = 0
-    if total > HOT_WORDS:
-        least = words.agg(F.percentile_approx("n", F.lit(1 - 0.9 * HOT_WORDS / total), F.lit(10000))).first()[0]
-    hot = words.where(F.col("n") > least)
-    if hot.count() > HOT_WORDS:
-        raise ValueError("more words than the bound would be broadcast")
-    hot = F.broadcast(hot.select("word", *columns, F.lit(True).alias("_hot")))
-    spots = occurrences(docs, model, id_col, text_col)
-    frequent = spots.join(hot, "word").drop("_hot")
-    others = spots.join(hot, "word", "left").where("_hot is null").select("id", "h", "pos", "word")
-    if least == 0:
-        return frequent, others.select("*", *[F.lit(None).cast(words.schema[c].dataType).alias(c) for c in columns])
-    return frequent, others.join(words.where(F.col("n") <= least).select("word", *columns), "word", "left")
+    return whole.select("word", *columns)
+
+
+def spread(words: DataFrame) -> DataFrame:
+    """``words`` in partitions of WORDS_PER_TASK: a word is few bytes and much
+    work, so partitions by size would be too few."""
+    return words.repartition(-(-words.count() // WORDS_PER_TASK) or 1, "word")
+
+
+def frequent_words(docs: DataFrame, model: PieceModel, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(key, hot_word, *columns) of at most HOT_WORDS words: the most frequent
+    ones of about SAMPLE_TEXTS texts, taken by the hash of their ids. Which
+    words these are decides how a word is joined and nothing else."""
+    share = SAMPLE_TEXTS * HASH_RANGE // max(1, docs.count())
+    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(HASH_RANGE)) <= share)
+    words = sample.select(F.explode(split_words(F.col(text_col), model)).alias("word")).where("word <> ''")
+    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
+    coded = materialize(with_columns(encode_words(spread(materialize(top.select("word"))), model), model, columns))
+    return coded.select(F.xxhash64("word").alias("key"), F.col("word").alias("hot_word"), *columns)
+
+
+def pieces_of(docs: DataFrame, model: PieceModel, columns: list[str], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, h, pos, *columns) of all occurrences, in two frames: those of the
+    frequent words, which are broadcast, and the others, which also hold the rows
+    of empty texts. Of the others the distinct words are encoded and then joined
+    to the occurrences."""
+    hot = F.broadcast(frequent_words(docs, model, columns, id_col, text_col))
+    spots = occurrences(docs, model, id_col, text_col).withColumn("key", F.xxhash64("word"))
+    found = (spots["key"] == hot["key"]) & (spots["word"] == hot["hot_word"])
+    frequent = spots.join(hot, found).select("id", "h", "pos", *columns)
+    rest = spots.join(hot, found, "left_anti").select("id", "h", "pos", "word")
+    distinct = materialize(rest.where("word is not null").select("word").distinct())
+    coded = materialize(with_columns(encode_words(spread(distinct), model), model, columns))
+    return frequent, rest.join(coded, "word", "left").select("id", "h", "pos", *columns)
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,9 +397,8 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
     Equal rows of one id give equal rows. Columns other than the two named are
     ignored.
     """
-    words = dictionary(docs, model, text_col)
-    frequent, others = pieces_of(docs, words, model, ["ids"], id_col, text_col)
-    rows = frequent.select("id", "h", "pos", "ids").unionByName(others.select("id", "h", "pos", "ids"))
+    frequent, others = pieces_of(docs, model, ["ids"], id_col, text_col)
+    rows = frequent.unionByName(others)
     grouped = rows.groupBy("id", "h").agg(
         F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("x"),
         F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("rows"),
@@ -392,8 +417,7 @@ def encoding_report(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
     Columns other than the two named are ignored.
     """
     columns = ["n_pieces", "n_bytes", "digest", "exact"]
-    words = dictionary(docs, model, text_col, tuple(columns))
-    frequent, others = pieces_of(docs, words, model, columns, id_col, text_col)
+    frequent, others = pieces_of(docs, model, columns, id_col, text_col)
 
     def summed(rows: DataFrame) -> DataFrame:
         return rows.groupBy("id", "h").agg(
