@@ -19,7 +19,6 @@ pieces share one rank, so that one pass over ranks does not order them.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -145,14 +144,15 @@ def split_words(text: Column, model: PieceModel) -> Column:
     marked = F.concat(prefix, F.replace(text, F.lit(" "), F.lit(" " + BLANK)))
     if r"\n" in pattern:
         marked = F.replace(marked, F.lit("\n"), F.lit(" \n "))
-    care = f"  |{BLANK}|^ "
+    care = F.contains(text, F.lit("  ")) | F.contains(text, F.lit(BLANK)) | F.startswith(text, F.lit(" "))
     for stop in STOPS:
         behind = {p[i - 1] for p, _, _ in model.usable for i in range(1, len(p)) if p[i] == stop}
-        care += f"|[{re.escape(''.join(sorted(behind | {BLANK})).replace(BLANK, ' '))}]{re.escape(stop)}"
+        for before in sorted(behind | {BLANK}):
+            care = care | F.contains(text, F.lit(before.replace(BLANK, " ") + stop))
         marked = F.replace(marked, F.lit(stop), F.lit(" " + stop))
     quick = F.split(marked, " ", -1)
     exact = F.split(F.concat(prefix, F.replace(text, F.lit(" "), F.lit(BLANK))), pattern, -1)
-    return F.when(F.length(text) > 0, F.when(text.rlike(care), exact).otherwise(quick))
+    return F.when(F.length(text) > 0, F.when(care, exact).otherwise(quick))
 
 
 def ranked(model: PieceModel) -> list[tuple[str, int, float]]:
@@ -383,7 +383,9 @@ def pieces_of(docs: DataFrame, model: PieceModel, columns: list[str], id_col: st
     to the occurrences."""
     hot = F.broadcast(frequent_words(docs, model, columns, id_col, text_col))
     spots = occurrences(docs, model, id_col, text_col).withColumn("key", F.xxhash64("word"))
-    found = (spots["key"] == hot["key"]) & (spots["word"] == hot["hot_word"])
+    # the number is the only join key, which makes the table of frequent words a
+    # map of longs; that the words are equal is then told by their prefixes
+    found = (spots["key"] == hot["key"]) & F.startswith("word", "hot_word") & F.startswith("hot_word", "word")
     frequent = spots.join(hot, found).select("id", "h", "pos", *columns)
     rest = spots.join(hot, found, "left_anti").select("id", "h", "pos", "word")
     distinct = materialize(rest.where("word is not null").select("word").distinct())

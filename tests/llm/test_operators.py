@@ -280,7 +280,7 @@ def test_viterbi_fold_finds_the_best_path(spark):
     scores = {p: -rng.uniform(1, 9) for p in names}
     model = spm.PieceModel((("<unk>", 0.0, spm.UNKNOWN), *((p, s, spm.NORMAL) for p, s in scores.items())), spm.UNIGRAM)
     words = ["▁" + "".join(rng.choices("abcz", k=rng.randrange(0, 9))) for _ in range(40)]
-    frame = spark.createDataFrame([(w, 1) for w in sorted(set(words))], "word string, n long")
+    frame = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
     known = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     for r in spm.encode_words(frame, model).collect():
         path = slow_viterbi(r["word"], scores, min(scores.values()) - spm.UNKNOWN_PENALTY)
