@@ -13,6 +13,11 @@
 
 Hot groups: equal texts share one fingerprint and are collapsed before the
 comparison; a crowded cell is cut into tiles of bounded size.
+
+``similar_texts`` groups by the Jaccard similarity of the shingle sets instead.
+Such pairs differ in too many bits of a fingerprint for a search by radius, so
+their candidates come from BANDS bands of BAND_ROWS minima each and every link
+is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -37,27 +42,39 @@ RADIUS = 2
 TILE_ROWS = 2048
 ROWS_PER_GROUP = 150_000
 MANY_FINGERPRINTS = 4_000_000
+#: A pair of similarity 0.8 shares none of the bands with a chance of 7e-5.
+BANDS, BAND_ROWS = 24, 5
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+SIMILAR_TILE = 512
 
 
-def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text as an unsigned integer.
-
-    Null and texts without words give 0; with fewer words than a shingle has,
-    the whole sequence counts as one shingle.
-    """
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle in order; of all words if they are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     width = min(shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=False)),
         np.uint64,
         len(words) - width + 1,
     )
+
+
+def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text as an unsigned integer.
+
+    Null and texts without words give 0; with fewer words than a shingle has,
+    the whole sequence counts as one shingle.
+    """
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)]
@@ -190,23 +207,129 @@ def near_duplicates(
     an empty result.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle))
+    labelled = _labelled(prints, near_links(prints, radius))
+    return labelled.select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _labelled(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, fp, component_id) of all rows, for links between values of ``fp``."""
     firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    groups = connected_components(near_links(prints, radius))
+    groups = connected_components(links)
     linked = firsts.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     mapping = linked.join(lowest, "component").select("fp", "component_id")
-    return prints.join(mapping, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return prints.join(mapping, "fp").select("id", "fp", "component_id")
+
+
+def set_hash(shingles: np.ndarray) -> int:
+    """One number for a sorted set of shingle hashes; 0 for the empty set."""
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) if len(shingles) else 0
+
+
+def band_hashes(shingles: np.ndarray) -> list[int]:
+    """A signed number for each band of minima of a set; none for the empty set."""
+    if not len(shingles):
+        return []
+    rng = np.random.default_rng(SEED)
+    factor = rng.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    shift = rng.integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), np.uint64)
+    minima = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 1 << 11):
+        np.minimum(minima, (shingles[None, at : at + (1 << 11)] * factor + shift).min(axis=1), out=minima)
+    bands = minima.reshape(BANDS, BAND_ROWS)
+    digests = [xxhash.xxh64_intdigest(band.tobytes(), number) for number, band in enumerate(bands)]
+    return np.array(digests, np.uint64).view(np.int64).tolist()
+
+
+def similar_links(sets: dict[int, np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Links that span the groups of sets of a Jaccard ``similarity`` or more."""
+    names = sorted(sets)
+    sizes = np.array([len(sets[n]) for n in names])
+    flat = np.concatenate([sets[n] for n in names])
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(names)), sizes)
+    label = np.arange(len(names))
+    for i, name in enumerate(names[:-1]):
+        if (label[i + 1 :] == label[i]).all():
+            continue
+        mine, rest = sets[name], flat[ends[i] :]
+        place = np.minimum(np.searchsorted(mine, rest), len(mine) - 1)
+        shared = np.bincount(owner[ends[i] :][mine[place] == rest], minlength=len(names))[i + 1 :]
+        # shared / union >= similarity, in doubles: 0.8 of a whole number of five is met exactly
+        near = i + 1 + np.flatnonzero(shared >= similarity * (sizes[i] + sizes[i + 1 :] - shared) - 1e-9)
+        for j in near.tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield name, names[j]
+
+
+def similar_texts(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SIMILAR_SHINGLE,
+    similarity: float = SIMILARITY,
+    tile_rows: int = SIMILAR_TILE,
+) -> DataFrame:
+    """One row per input row: id and ``component_id``, the smallest id reachable
+    over pairs whose sets of word shingles have a Jaccard ``similarity`` or more.
+
+    Texts that share a band are joined to clusters; within a cluster every text
+    meets every other, a crowded one being cut into tiles. Null texts and texts
+    without words are alike. Rows without an id take part.
+    """
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            fps = np.fromiter(map(set_hash, found), np.uint64, len(found)).view(np.int64)
+            bands = pa.array([band_hashes(x) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), bands], ["id", "fp", "bands"])
+
+    prints = materialize(narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp long, bands array<long>"))
+    banded = prints.select("fp", F.explode("bands").alias("band")).distinct()
+    least = banded.groupBy("band").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
+    stars = banded.join(least, "band").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst")).distinct()
+    members = materialize(connected_components(stars).select(F.col("node").alias("fp"), F.col("component").alias("cluster")))
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("tiles"))
+    owners = prints.groupBy("fp").agg(F.min("id").alias("rep")).join(members, "fp").join(sizes, "cluster")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
+            fps = np.fromiter(map(set_hash, found), np.uint64, len(found)).view(np.int64)
+            # another text of a repeated id, or of a row without one
+            right = pa.array(fps == batch.column("fp").to_numpy())
+            sets = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+            columns = [batch.column("cluster"), batch.column("fp"), batch.column("tiles"), sets]
+            yield pa.RecordBatch.from_arrays(columns, ["cluster", "fp", "tiles", "s"]).filter(right)
+
+    texts = narrow.join(owners, F.col("id").eqNullSafe(F.col("rep"))).select("cluster", "fp", "tiles", "text")
+    sets = texts.mapInArrow(to_sets, "cluster long, fp long, tiles int, s array<long>")
+    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    met = sets.withColumn("own", tile).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    met = met.select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "s")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = {n: np.asarray(x, np.int64).view(np.uint64) for n, x in zip(pdf["fp"], pdf["s"], strict=True)}
+        pairs = list(similar_links(sets, similarity))
+        return pd.DataFrame(pairs, columns=["src", "dst"]).astype("int64")
+
+    links = met.groupBy("cluster", "a", "b").applyInPandas(compare, "src long, dst long")
+    return _labelled(prints.select("id", "fp"), links).select(F.col("id").alias(id_col), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest
     id (of repeated ids, the row whose text hash is smallest). A group of rows
-    without ids keeps one row."""
-    found = near_duplicates(docs, id_col, text_col)
+    without ids keeps one row. The groups are those of ``found`` (id and
+    ``component_id``), by default of ``near_duplicates``."""
+    found = near_duplicates(docs, id_col, text_col) if found is None else found
     chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), F.col(id_col).isNull().alias("_none")
     ).distinct()

@@ -85,6 +85,47 @@ def test_one_group_of_many_copies(spark):
     assert {r["component_id"] for r in found if r["doc_id"] < 300} == {0}
 
 
+@pytest.mark.parametrize("tile", [512, 2])
+def test_similar_texts_equal_brute_force(spark, tile):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = []
+    for base in range(12):
+        words = rng.choices(WORDS, k=120)
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(120)] = f"new{rng.randrange(99)}"
+            rows.append((len(rows), " ".join(copy), "en", "s"))
+    rows += [(90, None, "en", "s"), (91, " ", "en", "s"), (92, "two words", "en", "s"), (93, "Two  words", "en", "s"), (94, "two other", "en", "s")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {i: shingles(t) for i, t, _, _ in rows}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            union = sets[a] | sets[b]
+            if a < b and (not union or len(sets[a] & sets[b]) / len(union) >= 0.8):
+                old, low = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: low if g == old else g for i, g in group.items()}
+    frame = docs(spark, rows)
+    found = simhash.similar_texts(frame, tile_rows=tile).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == group and len(found) == len(rows)
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
+    assert {r["doc_id"] for r in kept} == {i for i in group if group[i] == i} and len(kept) < len(rows) - 10
+
+
+def test_similar_texts_of_odd_rows(spark):
+    found = simhash.similar_texts(odd_docs(spark)).collect()
+    assert len(found) == odd_docs(spark).count()
+    assert {r["component_id"] for r in found if r["doc_id"] in (0, 1, 2)} == {0}
+    assert simhash.similar_texts(docs(spark, [])).collect() == []
+
+
 # Language ID --------------------------------------------------------------
 
 
