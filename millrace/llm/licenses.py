@@ -1,7 +1,10 @@
 """License scan: phrases, and an exact set-similarity join with notices.
 
 Every line of every text is a block, every notice below a template. A block is
-found when it holds at least THRESHOLD of a template's distinct words. Words
+found when it holds at least THRESHOLD of a template's distinct words. So that
+no wrapped notice is cut, texts of several lines also give overlapping runs of
+words over line ends; there, the words must be found in a run of at most
+SPREAD times the template's own length. Words
 are ordered by their frequency over all blocks, rarest first. A template of n
 words of which m are needed shares at least one of its n - m + 1 rarest words
 with every block to be found (prefix filter), so those words alone are the
@@ -23,6 +26,8 @@ from millrace.scratch import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.85
+#: Words over which a notice may be spread across lines, as a multiple of its own.
+SPREAD = 2
 #: Phrases, with the label of each.
 PHRASES = {
     "mit license": "mit",
@@ -64,10 +69,27 @@ def _places(words: str) -> str:
     return f"if(size({words}) > 0, filter({every}, p -> p.label is not null), array())"
 
 
+def runs_of(low: DataFrame) -> DataFrame:
+    """(id, h, known, spots) of overlapping runs of words, from the texts of
+    several lines: every SPREAD * n consecutive words, n being the length of the
+    longest template, lie in one run. ``spots`` has the place and the word of
+    every word that any template has. Runs with too few of them are left out."""
+    vocabulary = sorted({w for t in TEMPLATES.values() for w in t.split()})
+    step = SPREAD * max(len(t.split()) for t in TEMPLATES.values())
+    least = min(_needed(sorted(set(t.split()))) for t in TEMPLATES.values())
+    names = ", ".join(f"'{w}'" for w in vocabulary)
+    texts = low.where(F.contains("low", F.lit("\n"))).select("id", "h", words_of(F.col("low")).alias("ws"))
+    starts = f"sequence(0, greatest(0, (size(ws) - {step} - 1) div {step}))"
+    parts = texts.select("id", "h", F.explode(F.expr(f"transform({starts}, b -> slice(ws, int(b * {step} + 1), {2 * step}))")).alias("part"))
+    spots = F.expr(f"filter(transform(part, (w, i) -> named_struct('at', i, 'w', w)), x -> x.w in ({names}))")
+    placed = parts.select("id", "h", spots.alias("spots"))
+    return placed.select("id", "h", F.array_distinct("spots.w").alias("known"), "spots").where(F.size("known") >= least)
+
+
 def similar_blocks(blocks: DataFrame) -> DataFrame:
     """(id, h, label, containment) of every block and template that meet the
     threshold. ``blocks`` has id, h and ``known``: the distinct words of the
-    block that any template has."""
+    block that any template has; and ``spots`` for runs, null for lines."""
     spark = blocks.sparkSession
     sets = {label: sorted(set(text.split())) for label, text in TEMPLATES.items()}
     counts = blocks.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -82,21 +104,25 @@ def similar_blocks(blocks: DataFrame) -> DataFrame:
     for label, words in sets.items():
         ordered, need = sorted(words, key=place.__getitem__), _needed(words)
         needs.append(need)
-        prefixes += [(w, label, p, need, ordered) for p, w in enumerate(ordered[: len(ordered) - need + 1])]
+        span = SPREAD * len(TEMPLATES[label].split())
+        prefixes += [(w, label, p, need, span, ordered) for p, w in enumerate(ordered[: len(ordered) - need + 1])]
     index = F.broadcast(
-        spark.createDataFrame(prefixes, "word string, label string, p int, need int, template array<string>")
+        spark.createDataFrame(prefixes, "word string, label string, p int, need int, span int, template array<string>")
     )
     ordered = F.filter(F.lit(order), lambda w: F.array_contains("known", w))
-    sized = blocks.where(F.size("known") >= min(needs)).select("id", "h", ordered.alias("known"))
-    keyed = sized.select("id", "h", "known", F.posexplode("known").alias("q", "word"))
+    sized = blocks.where(F.size("known") >= min(needs)).select("id", "h", ordered.alias("known"), "spots")
+    keyed = sized.select("id", "h", "known", "spots", F.posexplode("known").alias("q", "word"))
     pairs = keyed.join(index, "word").where(
         (F.size("known") >= F.col("need"))
         & (F.size("template") - F.col("p") >= F.col("need"))
         & (F.size("known") - F.col("q") + F.col("p") >= F.col("need"))
     )
     shared = F.size(F.array_intersect("template", "known"))
+    here = "filter(spots, y -> y.at between x.at and x.at + span - 1).w"
+    close = F.expr(f"array_max(transform(spots, x -> size(array_intersect(template, {here}))))")
     return (
-        pairs.withColumn("shared", shared)
+        pairs.where(shared >= F.col("need"))
+        .withColumn("shared", F.when(F.col("spots").isNull(), shared).otherwise(close))
         .where(F.col("shared") >= F.col("need"))
         .select("id", "h", "label", (F.col("shared") / F.size("template")).alias("containment"))
     )
@@ -119,7 +145,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     vocabulary = sorted({w for t in TEMPLATES.values() for w in t.split()})
     lines = low.select("id", "h", F.explode(F.split("low", "\n", -1)).alias("line"))
     known = F.array_intersect(words_of(F.col("line")), F.lit(vocabulary))
-    blocks = materialize(lines.select("id", "h", known.alias("known")).where(F.size("known") > 0))
+    lines = lines.select("id", "h", known.alias("known"), F.lit(None).cast("array<struct<at:int,w:string>>").alias("spots"))
+    blocks = materialize(lines.where(F.size("known") > 0).unionByName(runs_of(low)))
     found = similar_blocks(blocks).groupBy("id", "h").agg(
         F.collect_set("label").alias("similar"), F.max("containment").alias("containment")
     )

@@ -491,6 +491,23 @@ def test_licenses_equal_brute_force(spark):
         assert r["score"] == pytest.approx(1.0 if base else best)
 
 
+def test_wrapped_notices_are_found_whole(spark):
+    import textwrap
+
+    rng = random.Random(12)
+    rows, expected = [], {}
+    for label, text in licenses.TEMPLATES.items():
+        for width in (20, 60):
+            for before in (0, 45, 130):
+                around = lambda n: "\n".join(textwrap.wrap(" ".join(rng.choices(WORDS, k=n)), 60))
+                wrapped = "\n * ".join(textwrap.wrap(text, width))
+                expected[len(rows)] = label
+                rows.append((len(rows), f"{around(before)}\n{wrapped}\n{around(70)}"))
+    found = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows, "doc_id long, text string")).collect()}
+    for i, label in expected.items():
+        assert label in found[i]["labels"].split(",") and found[i]["score"] == 1.0
+
+
 def test_licenses_of_odd_rows(spark):
     frame = odd_docs(spark).withColumn("labels", F.lit("clash"))
     found = licenses.scan(frame).collect()
