@@ -83,10 +83,11 @@ def frequent_sets(baskets: DataFrame, support: int, longest: int | None = None,
     return found
 
 
-def two_pass(baskets: DataFrame, support: int, parts: int, longest: int = 3) -> DataFrame:
+def two_pass(baskets: DataFrame, support: int, parts: int, longest: int | None = None) -> DataFrame:
     """(items, n) by two passes: sets that are frequent in a part of the baskets
     for a proportional support are candidates, and these are counted over all.
-    A set that is frequent overall is so in one part at least."""
+    A set that is frequent overall is so in one part at least. Sets grow until
+    no part has a frequent one, or to ``longest`` items."""
     dealt = baskets.withColumn("part", F.pmod(F.xxhash64("basket"), F.lit(parts)))
     least = -(-support // parts)
     columns = ["part", "item"]
@@ -94,7 +95,9 @@ def two_pass(baskets: DataFrame, support: int, parts: int, longest: int = 3) ->
     local = dealt.join(single.select(*columns), columns, "left_semi")
     every = single.select(F.array("item").alias("items")).distinct()
     places = local.select("basket", "part", F.array("item").alias("items"))
-    for _ in range(longest - 1):
+    k = 1
+    while (longest is None or k < longest) and not places.isEmpty():
+        k += 1
         step = local.select("basket", "part", "item")
         places = places.join(step, ["basket", "part"]).where(F.element_at("items", -1) < F.col("item"))
         places = places.select("basket", "part", F.concat("items", F.array("item")).alias("items"))

@@ -289,3 +289,10 @@ def test_stream_of_files_feeds_the_clusterer(spark, tmp_path):
     clusterer = clustering.SummarisingClusterer(3, batch_share=0.5, rounds=3)
     cluster_stream(point_stream(spark, str(folder)), clusterer, str(tmp_path / "cp")).awaitTermination()
     assert len(clusterer.reports) == 2 and clusterer.finish().count() == 60
+
+
+def test_two_pass_finds_sets_of_any_size(spark):
+    rows = [(b, i) for b in range(40) for i in "abcde"] + [(b, "f") for b in range(20)]
+    baskets = spark.createDataFrame(rows, "basket long, item string")
+    found = {tuple(r["items"]): r["n"] for r in itemsets.two_pass(baskets, 30, 4).collect()}
+    assert found == {c: 40 for k in range(1, 6) for c in itertools.combinations("abcde", k)}
