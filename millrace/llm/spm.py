@@ -149,6 +149,8 @@ def split_words(text: Column, model: PieceModel) -> Column:
         behind = {p[i - 1] for p, _, _ in model.usable for i in range(1, len(p)) if p[i] == stop}
         for before in sorted(behind | {BLANK}):
             care = care | F.contains(text, F.lit(before.replace(BLANK, " ") + stop))
+        if model.dummy_prefix:
+            care = care | F.startswith(text, F.lit(stop))
         marked = F.replace(marked, F.lit(stop), F.lit(" " + stop))
     quick = F.split(marked, " ", -1)
     exact = F.split(F.concat(prefix, F.replace(text, F.lit(" "), F.lit(BLANK))), pattern, -1)

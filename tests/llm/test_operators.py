@@ -290,6 +290,15 @@ def test_encoding_equals_the_library(spark):
     assert spm.encoding_report(docs(spark, [], "doc_id long, text string"), model).collect() == []
 
 
+def test_texts_that_begin_with_a_stop_equal_the_library(spark):
+    model = spm.read_model()
+    library = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL_PATH)
+    texts = [s + t for s in spm.STOPS for t in ("net is", "foo", "", " x", s + "y")]
+    frame = docs(spark, list(enumerate(texts)), "doc_id long, text string")
+    for r in spm.encode(frame, model).collect():
+        assert list(r["ids"]) == library.encode(texts[r["doc_id"]])
+
+
 def test_digest_tells_order_and_hot_words_do_not_change_it(spark, monkeypatch):
     model = spm.read_model()
     rows = [(1, "one two three"), (2, "two one three"), (3, "one two three"), (4, "rare weird woords here")]
