@@ -84,8 +84,9 @@ def windows(
     points under the loss mask.
 
     Turns are ordered by turn (null first), role, text; a null role or text is
-    empty. A turn that alone exceeds the budget keeps its whole text, in a
-    window of its own beside system turn and history. Repeated rows are turns
+    empty. History is left out as far as the first new turn needs its room; only
+    a turn that exceeds the budget with the system turn alone goes beyond it,
+    with its whole text, in a window without history. Repeated rows are turns
     of their own. Rows with a null conv_id form one conversation. Other columns
     are ignored. An empty table gives no windows.
     """
@@ -143,7 +144,8 @@ class _Windows:
             out = self.finish()
         if not self.new:
             fixed = 0 if self.system is None else self.system[2]
-            self.history = [t for t in self.recent if self.total - t[2] <= self.history_tokens] if self.number else []
+            most = min(self.history_tokens, self.budget - fixed - n)
+            self.history = [t for t in self.recent if self.total - t[2] <= most] if self.number else []
             held = self.total - self.history[0][2] if self.history else 0
             self.start, self.room = self.total, self.budget - fixed - held
         self.new.append(turn)
@@ -263,8 +265,9 @@ p AS (
 sys AS (SELECT conv_id, tok, size FROM n WHERE i = 0 AND role = 'system'),
 h AS (
   SELECT a.conv_id, a.i, coalesce(sum(b.tok), 0) AS held, coalesce(sum(b.size), 0) AS held_size
-  FROM p a LEFT JOIN p b ON a.conv_id = b.conv_id AND b.i < a.i AND b.i >= a.i - {HISTORY_TURNS}
-    AND a.before - b.before <= {HISTORY_TOKENS} AND NOT (b.i = 0 AND b.role = 'system')
+  FROM p a LEFT JOIN sys ON a.conv_id = sys.conv_id
+  LEFT JOIN p b ON a.conv_id = b.conv_id AND b.i < a.i AND b.i >= a.i - {HISTORY_TURNS}
+    AND a.before - b.before <= least({HISTORY_TOKENS}, {BUDGET} - coalesce(sys.tok, 0) - a.tok) AND NOT (b.i = 0 AND b.role = 'system')
   GROUP BY a.conv_id, a.i
 ),
 f AS (
