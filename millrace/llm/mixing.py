@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import load
+from millrace.llm.tables import free_names, load
 from millrace.scratch import materialize
 
 LEAF = ["domain", "lang", "source"]
@@ -35,10 +35,17 @@ def _name(column: Column) -> Column:
 def _weight(node: str, weights: Mapping[str, float]) -> Column:
     found = F.lit(1.0)
     for name, value in sorted(weights.items()):
+        if not 0 <= value < float("inf"):
+            raise ValueError(f"the weight of {name} must be 0 or more and finite")
         found = F.when(F.col(node) == f"={name}", F.lit(float(value))).otherwise(found)
     return found
 
 
+def _positive(weight: Column) -> Column:
+    """The weight for sharing: a node of weight 0 has no cap, so 1 will do."""
+    return F.when(weight == 0, F.lit(1.0)).otherwise(weight)
+
+
 def share_out(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     """Water-filling among the children of each parent.
 
@@ -61,23 +68,25 @@ def share_out(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
 def budgets(
     leaves: DataFrame,
-    budget: Column,
+    budget: float,
     max_epochs: int,
     domain_weights: Mapping[str, float],
     lang_weights: Mapping[str, float],
     source_weights: Mapping[str, float],
 ) -> DataFrame:
-    """Leaves (domain, lang, source, tokens) with ``alloc``, their tokens to take."""
-    capped = leaves.withColumn("cap", F.col("tokens") * max_epochs).withColumn("root", F.lit(0))
-    total = Window.partitionBy("root")
-    capped = capped.withColumn("goal", F.least(budget, F.sum("cap").over(total).cast("double")))
-    domains = capped.groupBy("root", "domain").agg(F.sum("cap").alias("cap"), F.max("goal").alias("budget"))
-    domains = share_out(domains.withColumn("weight", _weight("domain", domain_weights)), ["root"], "domain")
+    """Leaves (domain, lang, source, tokens) with ``alloc``, their tokens to
+    take. A leaf below a node of weight 0 takes nothing."""
+    weights = {n: _weight(n, w) for n, w in zip(LEAF, (domain_weights, lang_weights, source_weights), strict=True)}
+    shut = (weights["domain"] == 0) | (weights["lang"] == 0) | (weights["source"] == 0)
+    capped = materialize(leaves.withColumn("cap", F.when(shut, F.lit(0)).otherwise(F.col("tokens") * max_epochs)))
+    goal = F.lit(float(min(budget, capped.agg(F.sum("cap")).first()[0] or 0)))
+    domains = capped.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumns({"root": F.lit(0), "budget": goal})
+    domains = share_out(domains.withColumn("weight", _positive(weights["domain"])), ["root"], "domain")
     langs = capped.groupBy("domain", "lang").agg(F.sum("cap").alias("cap"))
     langs = langs.join(domains.select("domain", F.col("share").alias("budget")), "domain")
-    langs = share_out(langs.withColumn("weight", _weight("lang", lang_weights)), ["domain"], "lang")
+    langs = share_out(langs.withColumn("weight", _positive(weights["lang"])), ["domain"], "lang")
     ends = capped.join(langs.select("domain", "lang", F.col("share").alias("budget")), ["domain", "lang"])
-    ends = share_out(ends.withColumn("weight", _weight("source", source_weights)), ["domain", "lang"], "source")
+    ends = share_out(ends.withColumn("weight", _positive(weights["source"])), ["domain", "lang"], "source")
     return ends.select(*LEAF, "tokens", F.floor(F.round("share", 6)).cast("long").alias("alloc"))
 
 
@@ -133,32 +142,39 @@ def mix(
     seed: int = 11,
     id_col: str = "doc_id",
     text_col: str = "text",
+    copies_col: str = "copies",
 ) -> DataFrame:
-    """The documents that the mixture takes, with ``copies``, the number of
-    passes that take them.
+    """The documents that the mixture takes, with ``copies`` (or the name given),
+    the number of passes that take them.
 
     The budget is ``budget_share`` times all tokens (words between blanks).
-    Weights are by name, 1 where not given, and must be positive. A null
-    domain, language or source is a node of its own. Rows with equal ids share
-    their place in the order and are taken together. Null and empty texts have
-    no tokens and follow their place. A column named ``copies`` is replaced.
+    Weights are by name, 1 where not given, and 0 or more: a node of weight 0
+    takes nothing. A null domain, language or source is a node of its own. Rows
+    with equal ids share their place in the order and are taken together. Null
+    and empty texts have no tokens and follow their place. A column named
+    ``copies`` is replaced.
     """
     leaf = {"domain": _name(domain), "lang": _name(F.col("lang")), "source": _name(F.col("source"))}
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     base = materialize(docs.select(F.col(id_col).alias("id"), *[c.alias(n) for n, c in leaf.items()], count.alias("n_tokens")))
     leaves = base.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
-    goal = F.lit(float(budget_share)) * F.sum("tokens").over(Window.partitionBy("root"))
+    goal = float(budget_share) * float(base.agg(F.sum("n_tokens")).first()[0] or 0)
     plan = budgets(leaves, goal, max_epochs, domain_weights or {}, lang_weights or {}, source_weights or {})
-    chosen = materialize(cuts(base, plan, seed)).select(*[F.col(n).alias(f"_{n}") for n in LEAF], "passes", "cut")
-    placed = docs.drop("copies").withColumns({f"_{n}": c for n, c in leaf.items()})
-    extra = F.coalesce(order_key(seed, F.col("passes"), id_col) <= F.col("cut"), F.lit(False)).cast("long")
-    taken = placed.join(chosen, [f"_{n}" for n in LEAF]).withColumn("copies", F.col("passes") + extra)
-    return taken.where("copies > 0").select(*[c for c in docs.columns if c != "copies"], "copies")
+    kept = docs.drop(copies_col)
+    *names, passes, cut = free_names(kept, *LEAF, "passes", "cut")
+    chosen = materialize(cuts(base, plan, seed)).select(
+        *[F.col(n).alias(m) for n, m in zip(LEAF, names, strict=True)], F.col("passes").alias(passes), F.col("cut").alias(cut)
+    )
+    placed = kept.withColumns({m: leaf[n] for n, m in zip(LEAF, names, strict=True)})
+    extra = F.coalesce(order_key(seed, F.col(passes), id_col) <= F.col(cut), F.lit(False)).cast("long")
+    taken = placed.join(chosen, names).select(*[F.col(c) for c in kept.columns], (F.col(passes) + extra).alias(copies_col))
+    return taken.where(F.col(copies_col) > 0)
 
 
 def two_domains() -> Column:
-    """The domain of a document of the test tables, which have no such column:
-    ``core`` for source names of up to four letters."""
+    """A stand-in for the domain of a document of the test tables, which have no
+    such column: ``core`` for source names of up to four letters. Real corpora
+    pass a column or a mapping of their own to ``mix``."""
     return F.when(F.length("source") <= 4, F.lit("core")).otherwise(F.lit("extended"))
 
 
