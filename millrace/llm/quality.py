@@ -135,7 +135,9 @@ def logit(p: Column) -> Column:
 
 def shrink(scored: DataFrame) -> DataFrame:
     """``scored`` (id, host, path, p) with ``host_score``, ``path_score`` and
-    ``quality``. Null hosts and paths are groups of their own."""
+    ``quality``. Null hosts and paths are groups of their own. In ``quality`` a
+    document meets the scores of its site as the other documents give them, so
+    that its own evidence counts once."""
     sums = [F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")]
     paths = materialize(scored.groupBy("host", "path").agg(*sums))
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
@@ -143,18 +145,22 @@ def shrink(scored: DataFrame) -> DataFrame:
     overall = total["s"] / total["n"] if total["n"] else 0.5
     hosts = hosts.withColumn("prior", F.lit(overall))
     k = strength(hosts, "prior")
-    hosts = hosts.select(F.col("host").alias("_host"), ((F.col("s") + k * F.col("prior")) / (F.col("n") + k)).alias("host_score"))
+    host_score = (F.col("s") + k * F.col("prior")) / (F.col("n") + k)
+    hosts = hosts.select(F.col("host").alias("_host"), host_score.alias("host_score"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
     paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    k = strength(paths, "host_score")
+    deep = strength(paths, "host_score")
     paths = paths.select(
         F.col("host").alias("_host"),
         F.col("path").alias("_path"),
         "host_score",
-        ((F.col("s") + k * F.col("host_score")) / (F.col("n") + k)).alias("path_score"),
+        ((F.col("s") + deep * F.col("host_score")) / (F.col("n") + deep)).alias("path_score"),
+        *["host_n", "host_s", "n", "s"],
     )
     joined = scored.join(paths, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
-    evidence = logit(F.col("p")) + logit(F.col("path_score")) - logit(F.lit(float(overall)))
-    return joined.drop("_host", "_path").withColumn("quality", 1 / (1 + F.exp(-evidence)))
+    others = (F.col("host_s") - F.col("p") + k * overall) / (F.col("host_n") - 1 + k)
+    others = (F.col("s") - F.col("p") + deep * others) / (F.col("n") - 1 + deep)
+    evidence = logit(F.col("p")) + logit(others) - logit(F.lit(float(overall)))
+    return joined.select(*scored.columns, "host_score", "path_score", (1 / (1 + F.exp(-evidence))).alias("quality"))
 
 
 def classify(docs: DataFrame, model: QualityModel, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
