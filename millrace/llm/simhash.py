@@ -29,10 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import load
+from millrace.llm.tables import free_names, load
 from millrace.operators.components import connected_components
 from millrace.scratch import materialize
 
@@ -83,17 +83,22 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) for every row; ``fp`` holds the 64 bits as a signed long."""
+    """(id, h, fp) for every row; ``fp`` holds the 64 bits as a signed long and
+    ``h`` the hash of the text, which tells apart the texts of one id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.fromiter(
-                (text_fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows
+                (text_fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values.view(np.int64))], ["id", "h", "fp"])
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp long")
+    narrow = _narrow(docs, id_col, text_col)
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, h long, fp long")
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -206,23 +211,30 @@ def near_duplicates(
     stay. Columns other than the two named are ignored. An empty table gives
     an empty result.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle))
-    labelled = _labelled(prints, near_links(prints, radius))
-    return labelled.select(
+    return near_groups(docs, id_col, text_col, shingle, radius).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """(id, h, fp, component, component_id) of all rows, by fingerprints."""
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle))
+    return _labelled(prints, near_links(prints, radius))
+
+
 def _labelled(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, fp, component_id) of all rows, for links between values of ``fp``."""
+    """``prints`` (id, h, fp) with ``component``, a number for each group, and
+    ``component_id``, its smallest id, for links between values of ``fp``."""
     firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
     groups = connected_components(links)
     linked = firsts.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
     lowest = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    mapping = linked.join(lowest, "component").select("fp", "component_id")
-    return prints.join(mapping, "fp").select("id", "fp", "component_id")
+    mapping = linked.join(lowest, "component").select("fp", "component", "component_id")
+    return prints.join(mapping, "fp").select("id", "h", "fp", "component", "component_id")
 
 
 def set_hash(shingles: np.ndarray) -> int:
@@ -278,38 +290,57 @@ def similar_texts(
     """One row per input row: id and ``component_id``, the smallest id reachable
     over pairs whose sets of word shingles have a Jaccard ``similarity`` or more.
 
+    Null texts and texts without words are alike. Rows without an id take part.
+    """
+    groups = similar_groups(docs, id_col, text_col, shingle, similarity, tile_rows)
+    return groups.select(F.col("id").alias(id_col), "component_id")
+
+
+def similar_groups(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SIMILAR_SHINGLE,
+    similarity: float = SIMILARITY,
+    tile_rows: int = SIMILAR_TILE,
+) -> DataFrame:
+    """(id, h, fp, component, component_id) of all rows, by similarity.
+
     Texts that share a band are joined to clusters; within a cluster every text
-    meets every other, a crowded one being cut into tiles. Null texts and texts
-    without words are alike. Rows without an id take part.
+    meets every other, a crowded one being cut into tiles. ``fp`` numbers the
+    distinct sets of shingles.
     """
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    narrow = _narrow(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(2)]
             fps = np.fromiter(map(set_hash, found), np.uint64, len(found)).view(np.int64)
             bands = pa.array([band_hashes(x) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), bands], ["id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps), bands], ["id", "h", "fp", "bands"])
 
-    prints = materialize(narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, fp long, bands array<long>"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    prints = materialize(narrow.mapInArrow(run, f"id {kind}, h long, fp long, bands array<long>"))
     banded = prints.select("fp", F.explode("bands").alias("band")).distinct()
     least = banded.groupBy("band").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
     stars = banded.join(least, "band").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst")).distinct()
     members = materialize(connected_components(stars).select(F.col("node").alias("fp"), F.col("component").alias("cluster")))
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("tiles"))
-    owners = prints.groupBy("fp").agg(F.min("id").alias("rep")).join(members, "fp").join(sizes, "cluster")
+    reps = prints.join(members, "fp").groupBy("fp", "cluster").agg(F.min(F.struct("id", "h")).alias("rep"))
+    owners = reps.join(sizes, "cluster").select("fp", "cluster", "tiles", F.col("rep.id").alias("rep"), F.col("rep.h").alias("rep_h"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
             fps = np.fromiter(map(set_hash, found), np.uint64, len(found)).view(np.int64)
-            # another text of a repeated id, or of a row without one
+            # another text of one id and hash
             right = pa.array(fps == batch.column("fp").to_numpy())
             sets = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
             columns = [batch.column("cluster"), batch.column("fp"), batch.column("tiles"), sets]
             yield pa.RecordBatch.from_arrays(columns, ["cluster", "fp", "tiles", "s"]).filter(right)
 
-    texts = narrow.join(owners, F.col("id").eqNullSafe(F.col("rep"))).select("cluster", "fp", "tiles", "text")
+    own = F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))
+    texts = narrow.join(owners, own).select("cluster", "fp", "tiles", "text")
     sets = texts.mapInArrow(to_sets, "cluster long, fp long, tiles int, s array<long>")
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     met = sets.withColumn("own", tile).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
@@ -321,24 +352,24 @@ def similar_texts(
         return pd.DataFrame(pairs, columns=["src", "dst"]).astype("int64")
 
     links = met.groupBy("cluster", "a", "b").applyInPandas(compare, "src long, dst long")
-    return _labelled(prints.select("id", "fp"), links).select(F.col("id").alias(id_col), "component_id")
+    return _labelled(prints.select("id", "h", "fp"), links)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest
-    id (of repeated ids, the row whose text hash is smallest). A group of rows
-    without ids keeps one row. The groups are those of ``found`` (id and
-    ``component_id``), by default of ``near_duplicates``."""
-    found = near_duplicates(docs, id_col, text_col) if found is None else found
-    chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"), F.col(id_col).isNull().alias("_none")
-    ).distinct()
-    keyed = docs.withColumns(
-        {"_key": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "_none": F.col(id_col).isNull()}
-    )
-    first = keyed.join(chosen, ["_key", "_none"], "left_semi")
-    order = Window.partitionBy("_key", "_none").orderBy(F.xxhash64(text_col))
-    return first.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    id, rows without an id coming last; of several texts of that id the one of
+    the smallest hash. Of rows alike in id and text any one stays. No other row
+    goes, whether ids repeat or are null. The groups are those of ``groups``
+    (id, h, component), by default of ``near_groups``."""
+    groups = materialize((near_groups(docs, id_col, text_col) if groups is None else groups).select("id", "h", "component"))
+    key_id, key_h, own_h = free_names(docs, "key_id", "key_h", "own_h")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first"))
+    chosen = first.select(F.col("first.id").alias(key_id), F.col("first.h").alias(key_h))
+    hashed = docs.withColumn(own_h, F.xxhash64(text_col))
+    kept = hashed.join(chosen, F.col(id_col).eqNullSafe(F.col(key_id)) & (F.col(own_h) == F.col(key_h)), "left_semi")
+    if not groups.groupBy("id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, own_h])
+    return kept.select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
