@@ -7,6 +7,7 @@ intermediate result with it.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,14 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, notebooks on one machine) a temporary
-    folder is made and set, so that ``checkpoint()`` works as well.
+    Where the setting is absent and the master is local (tests, notebooks on
+    one machine) a temporary folder is made and set, so that ``checkpoint()``
+    works as well. On a cluster it must be set: other machines would not see a
+    temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(path)
         _remove_at_exit(spark, path)
