@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.scratch import materialize
+
 HASHES = 50
 PRIME = 2_147_483_647
 
@@ -17,10 +19,11 @@ def dense_index(table: DataFrame, column: str) -> DataFrame:
     """(column, idx): the distinct values numbered from 0 in their order.
 
     Values are range-partitioned and numbered within partitions, offset by the
-    sizes of the partitions before: no task sees all values.
+    sizes of the partitions before: no task sees all values. The partitions are
+    written once, as both their sizes and their numbers follow from them.
     """
     values = table.select(column).where(F.col(column).isNotNull()).distinct()
-    ranged = values.repartitionByRange(column).withColumn("p", F.spark_partition_id())
+    ranged = materialize(values.repartitionByRange(column).withColumn("p", F.spark_partition_id()))
     sizes = ranged.groupBy("p").agg(F.count("*").alias("n"), F.min(column).alias("low"))
     # one row for each partition
     offsets = sizes.withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("low")) - F.col("n"))
@@ -32,8 +35,9 @@ def dense_index(table: DataFrame, column: str) -> DataFrame:
 
 
 def coefficients(hashes: int) -> list[tuple[int, int]]:
-    """Multipliers and increments of the hash functions, in closed form."""
-    return [((7919 * (h + 1) * (h + 1) + 104729 * h) % PRIME, (15485863 * (h + 1) + 31 * h * h) % PRIME) for h in range(hashes)]
+    """Multipliers and increments of the hash functions: powers of two
+    generators modulo PRIME, large enough that small numbers wrap around too."""
+    return [(pow(48271, h + 1, PRIME), pow(16807, h + 1, PRIME)) for h in range(hashes)]
 
 
 def signatures(members: DataFrame, hashes: int = HASHES) -> DataFrame:
