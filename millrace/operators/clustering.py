@@ -96,26 +96,32 @@ def best_kmeans(points: DataFrame, starts: Iterable[Centroids], rounds: int = 10
     scored = []
     for i, start in enumerate(starts):
         centroids = kmeans(points, start, rounds)
-        value = davies_bouldin(assign(points, centroids)).first()["db"]
+        value = davies_bouldin(assign(points, centroids), clusters=len(centroids)).first()["db"]
         scored.append((float("inf") if value is None else value, i, centroids))
     return min(scored)[2]
 
 
-def davies_bouldin(points: DataFrame, cluster: str = "cluster") -> DataFrame:
+def davies_bouldin(points: DataFrame, cluster: str = "cluster", clusters: int | None = None) -> DataFrame:
     """(db): mean over clusters of the worst ratio of summed scatters (mean
-    distance to the centroid) to the distance of centroids."""
-    centroids = [(k, (s / n).tolist()) for k, n, s, _ in vector_sums(points, cluster)]
+    distance to the centroid) to the distance of centroids. Fewer than two
+    clusters give null; where ``clusters`` says how many there should be and
+    one of them has no points, the value is infinite. The centroids are a model
+    of bounded size; only their scatters come from the points."""
+    centroids = {k: s / n for k, n, s, _ in vector_sums(points, cluster)}
     spark = points.sparkSession
+    if clusters is not None and len(centroids) < clusters:
+        return spark.createDataFrame([(float("inf"),)], "db double")
     if len(centroids) < 2:
         return spark.createDataFrame([(None,)], "db double")
-    own = F.element_at(F.create_map(*[x for k, c in centroids for x in (F.lit(k), constant(c))]), F.col(cluster))
-    scatter = points.groupBy(cluster).agg(F.avg(F.sqrt(squared_distance(F.col("vec"), own))).alias("s"))
-    table = spark.createDataFrame(centroids, "k long, c array<double>")
-    sized = table.join(scatter, F.col("k") == F.col(cluster)).select("k", "c", "s")
-    a, b = sized.selectExpr("k ka", "c ca", "s sa"), sized.selectExpr("k kb", "c cb", "s sb")
-    ratio = (F.col("sa") + F.col("sb")) / F.sqrt(squared_distance(F.col("ca"), F.col("cb")))
-    worst = a.join(F.broadcast(b), F.col("ka") != F.col("kb")).groupBy("ka").agg(F.max(ratio).alias("r"))
-    return worst.agg(F.avg("r").alias("db"))
+    table = spark.createDataFrame([(k, c.tolist()) for k, c in centroids.items()], "k long, c array<double>")
+    placed = points.join(table, F.col(cluster) == F.col("k"))
+    rows = placed.groupBy("k").agg(F.avg(F.sqrt(squared_distance(F.col("vec"), F.col("c")))).alias("s")).collect()
+    scatter = {r["k"]: r["s"] for r in rows}
+    worst = [
+        max((scatter[a] + scatter[b]) / d if (d := float(np.linalg.norm(centroids[a] - centroids[b]))) else float("inf") for b in scatter if b != a)
+        for a in sorted(scatter)
+    ]
+    return spark.createDataFrame([(sum(worst) / len(worst),)], "db double")
 
 
 @dataclass

@@ -39,13 +39,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, label): every node takes, in each round at once, the label most
-    frequent among its neighbours, the smallest of several."""
+    frequent among its neighbours, the smallest of several. Nodes may be of any
+    kind that has an order."""
     near = materialize(adjacency(edges))
     labels = vertices_of(edges).withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = near.join(labels, near["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.max(F.struct(F.col("n"), (-F.col("label")).alias("low"))).alias("m"))
-        labels = checkpointed(best.select(F.col("src").alias("node"), (-F.col("m.low")).alias("label")))
+        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("few"), "label")).alias("m"))
+        labels = checkpointed(best.select(F.col("src").alias("node"), "m.label"))
     return labels
 
 

@@ -46,12 +46,11 @@ def pair_filter(pairs: DataFrame, support: int, buckets: int = PAIR_BUCKETS) ->
 
 
 def candidates(frequent: DataFrame, k: int) -> DataFrame:
-    """Sets of k items whose (k-1)-subsets are all in ``frequent``."""
+    """Sets of k items, k being 3 or more, whose (k-1)-subsets are all in ``frequent``."""
     prefix, last = names(k - 2), f"i{k - 1}"
     left = frequent.select(*prefix, last)
     right = frequent.select(*prefix, F.col(last).alias(f"i{k}"))
-    joined = left.join(right, prefix) if prefix else left.crossJoin(right)
-    joined = joined.where(F.col(last) < F.col(f"i{k}")).select(*names(k))
+    joined = left.join(right, prefix).where(F.col(last) < F.col(f"i{k}")).select(*names(k))
     for gone in range(1, k - 1):
         rest = [n for n in names(k) if n != f"i{gone}"]
         subset = frequent.select(*[F.col(a).alias(b) for a, b in zip(names(k - 1), rest, strict=True)])
@@ -83,11 +82,10 @@ def frequent_sets(baskets: DataFrame, support: int, longest: int | None = None,
     return found
 
 
-def two_pass(baskets: DataFrame, support: int, parts: int, longest: int | None = None) -> DataFrame:
-    """(items, n) by two passes: sets that are frequent in a part of the baskets
-    for a proportional support are candidates, and these are counted over all.
-    A set that is frequent overall is so in one part at least. Sets grow until
-    no part has a frequent one, or to ``longest`` items."""
+def local_candidates(baskets: DataFrame, support: int, parts: int, longest: int | None = None) -> DataFrame:
+    """(items): sets that are frequent in a part of the baskets for a
+    proportional support. Sets grow until no part has a frequent one, or to
+    ``longest`` items."""
     dealt = baskets.withColumn("part", F.pmod(F.xxhash64("basket"), F.lit(parts)))
     least = -(-support // parts)
     columns = ["part", "item"]
@@ -104,7 +102,17 @@ def two_pass(baskets: DataFrame, support: int, parts: int, longest: int | None =
         held = places.groupBy("part", "items").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("part", "items")
         places = materialize(places.join(held, ["part", "items"], "left_semi"))
         every = every.unionByName(places.select("items").distinct())
-    wanted = materialize(every.distinct())
+    return materialize(every.distinct())
+
+
+def count_sets(baskets: DataFrame, wanted: DataFrame, support: int) -> DataFrame:
+    """(items, n) of the wanted sets that so many baskets hold."""
     sized = wanted.select("items", F.size("items").alias("k"), F.explode("items").alias("item"))
     hits = sized.join(baskets, "item").groupBy("items", "k", "basket").agg(F.count("*").alias("c")).where("c = k")
     return hits.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+
+
+def two_pass(baskets: DataFrame, support: int, parts: int, longest: int | None = None) -> DataFrame:
+    """(items, n) by two passes: the local candidates are counted over all
+    baskets. A set that is frequent overall is so in one part at least."""
+    return count_sets(baskets, local_candidates(baskets, support, parts, longest), support)

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from millrace.operators.similarity import similar_pairs
+from millrace.operators.similarity import dense_index, similar_pairs
 
 CENTRE = 3.0
 FLAT = 1e-9
@@ -49,8 +50,11 @@ def item_model(ratings: DataFrame, above: float = 1e-4) -> DataFrame:
 
 def user_model(ratings: DataFrame, jaccard_at_least: float = 0.01, at_least: float = 1e-6, hashes: int = 50) -> DataFrame:
     """(a, b, common, sim), a < b, of users that hashing proposes, whose item sets
-    are similar enough and share three items at least."""
+    are similar enough and share three items at least. Items that are not whole
+    numbers are numbered for the hashing."""
     members = ratings.select(F.col("user_id").alias("owner"), F.col("item_id").alias("member"))
+    if not isinstance(members.schema["member"].dataType, IntegralType):
+        members = members.join(dense_index(members, "member"), "member").select("owner", F.col("idx").alias("member"))
     near = similar_pairs(members, jaccard_at_least, hashes).where(F.col("common") >= MIN_COMMON).select("a", "b")
     left = ratings.select(F.col("user_id").alias("a"), "item_id", F.col("stars").alias("x"))
     right = ratings.select(F.col("user_id").alias("b"), "item_id", F.col("stars").alias("y"))

@@ -42,11 +42,11 @@ def _top_words(spark, d):
 
 
 def _partition_sizes(spark, d):
-    return partitions.partition_sizes(domain.part_reviews(spark, d), 8, "item_id")
+    return partitions.dealt_sizes(domain.part_reviews(spark, d), F.col("item_id"), 8)
 
 
 def _heavy_items(spark, d):
-    return partitions.heavy_keys(domain.part_reviews(spark, d), "item_id", 30, 8)
+    return partitions.heavy_keys(domain.part_reviews(spark, d), "item_id", 30)
 
 
 def _state_user_item(spark, d):

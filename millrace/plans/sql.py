@@ -201,6 +201,7 @@ im AS (SELECT item_id, avg(stars) AS f FROM train GROUP BY item_id),
 z AS (SELECT stars, coalesce(pred, f) AS pred FROM test LEFT JOIN pred USING (user_id, item_id) LEFT JOIN im USING (item_id))
 SELECT round(sqrt(avg((pred - stars) * (pred - stars))), 5) AS rmse, count(*) AS n FROM z WHERE pred IS NOT NULL""",
         "cooccur_edges": f"WITH {GRAPH} SELECT * FROM e",
+        "partition_sizes": f"WITH r AS ({PARTS}) SELECT CAST(item_id % 8 AS INTEGER) AS partition, count(*) AS n FROM r GROUP BY 1",
         "label_propagation": f"WITH {GRAPH}, {LPA} SELECT node, label FROM l5",
         "components": f"""
 WITH RECURSIVE {GRAPH}, v AS (SELECT DISTINCT src AS node, src AS root FROM adj UNION SELECT dst, root FROM v JOIN adj ON src = node)

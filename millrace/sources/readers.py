@@ -67,3 +67,15 @@ def number_map(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object of numbers, as (key, value)."""
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string,double>")).alias("key", "value"))
+
+
+def profiles(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(id, term) of the profiles of one type, of a model that ``reports.profiles`` writes."""
+    table = json_lines(spark, path, PROFILE).where(F.col("profile_type") == kind)
+    return table.select(F.col("profile_id").alias("id"), F.explode("profile_content").alias("term"))
+
+
+def pair_model(spark: SparkSession, path: str) -> DataFrame:
+    """(a, b, sim) of a similarity model of items or of users, by the names its rows have."""
+    table = json_lines(spark, path, "b1 string, b2 string, u1 string, u2 string, sim double")
+    return table.select(F.coalesce("b1", "u1").alias("a"), F.coalesce("b2", "u2").alias("b"), "sim")

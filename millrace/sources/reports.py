@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +40,29 @@ def json_rows(path: str, table: DataFrame) -> None:
 
 
 def pair_model(path: str, table: DataFrame, first: str, second: str) -> None:
-    """JSON lines of a symmetric model, each pair with the smaller id first."""
-    low, high = F.least(first, second), F.greatest(first, second)
+    """JSON lines of a symmetric model (a, b, sim) under the names given, each
+    pair with the smaller id first."""
+    low, high = F.least("a", "b").cast("string"), F.greatest("a", "b").cast("string")
     json_rows(path, table.select(low.alias(first), high.alias(second), "sim"))
 
 
+def profiles(path: str, kinds: dict[str, DataFrame]) -> None:
+    """JSON lines of profiles, each with its type, its id and its sorted term
+    numbers, of frames (id, term) by type."""
+    parts = [
+        t.groupBy(F.col("id").cast("string").alias("profile_id")).agg(F.array_sort(F.collect_set(F.col("term").cast("int"))).alias("profile_content"))
+        .select(F.lit(kind).alias("profile_type"), "profile_id", "profile_content")
+        for kind, t in kinds.items()
+    ]
+    json_rows(path, reduce(DataFrame.unionByName, parts))
+
+
+def exploration(path: str, total: int, in_year: int, users: int, top_users: list[tuple], top_words: list[str]) -> None:
+    """One object of five answers: A rows, B rows of the year, C users, D the
+    users with most rows and their counts, E the most frequent words."""
+    json_object(path, {"A": total, "B": in_year, "C": users, "D": [list(u) for u in top_users], "E": top_words})
+
+
 def _quoted(names: Iterable) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
