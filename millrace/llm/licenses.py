@@ -1,14 +1,14 @@
 """License scan: phrases, and an exact set-similarity join with notices.
 
-Every line of every text is a block, every notice below a template. A block is
-found when it holds at least THRESHOLD of a template's distinct words. So that
-no wrapped notice is cut, texts of several lines also give overlapping runs of
-words over line ends; there, the words must be found in a run of at most
-SPREAD times the template's own length. Words
-are ordered by their frequency over all blocks, rarest first. A template of n
-words of which m are needed shares at least one of its n - m + 1 rarest words
-with every block to be found (prefix filter), so those words alone are the
-join keys; blocks with fewer than m template words are left out (length
+Every text is cut into words once. Its blocks are overlapping runs of words,
+long enough that whatever SPREAD times a template's length of consecutive words
+holds lies in one of them; line ends don't matter, so wrapped notices are found
+and long lines don't gather words from afar. A block matches a template when
+within such a stretch it holds at least THRESHOLD of the template's distinct
+words. Words are ordered by their frequency over all texts, rarest first. A
+template of n words of which m are needed shares at least one of its n - m + 1
+rarest words with every block to be found (prefix filter), so those words alone
+are the join keys; blocks with fewer than m template words are left out (length
 filter), and so are pairs whose place in the order leaves too few words to
 reach m (positional filter). What is left is compared word by word.
 DataFrame functions only.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.tables import load
@@ -26,8 +26,11 @@ from millrace.scratch import materialize
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.85
-#: Words over which a notice may be spread across lines, as a multiple of its own.
+#: Words over which a notice may be spread, as a multiple of its own.
 SPREAD = 2
+#: The characters beside A-Z whose lower case is or holds one of
+#: a-z (the Kelvin sign, the capital I with a dot), and letters in their stead.
+ALIEN = {"\u212a": "\u0138", "\u0130": "\u0131"}
 #: Phrases, with the label of each.
 PHRASES = {
     "mit license": "mit",
@@ -50,6 +53,14 @@ TEMPLATES = {
 }
 
 
+def lowered(text: Column) -> Column:
+    """The text with A-Z in lower case; other letters may change to other
+    letters, never to A-Z or a-z or from a letter to none."""
+    for alien, stand_in in ALIEN.items():
+        text = F.replace(text, F.lit(alien), F.lit(stand_in))
+    return F.lower(text)
+
+
 def words_of(text: Column) -> Column:
     """Words of a lower-cased text, in order."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -59,46 +70,41 @@ def _needed(words: list[str]) -> int:
     return ceil(THRESHOLD * len(words) - 1e-9)
 
 
-def _places(words: str) -> str:
-    """SQL: structs of place ``i`` and ``label`` of every phrase in ``words``."""
-    cases = " ".join(
-        "when " + " and ".join(f"get({words}, i + {k}) <=> '{w}'" for k, w in enumerate(phrase.split())) + f" then '{label}'"
-        for phrase, label in PHRASES.items()
-    )
-    every = f"transform(sequence(0, size({words}) - 1), i -> named_struct('i', i, 'label', case {cases} end))"
-    return f"if(size({words}) > 0, filter({every}, p -> p.label is not null), array())"
-
-
-def runs_of(low: DataFrame) -> DataFrame:
-    """(id, h, known, spots) of overlapping runs of words, from the texts of
-    several lines: every SPREAD * n consecutive words, n being the length of the
-    longest template, lie in one run. ``spots`` has the place and the word of
-    every word that any template has. Runs with too few of them are left out."""
-    vocabulary = sorted({w for t in TEMPLATES.values() for w in t.split()})
-    step = SPREAD * max(len(t.split()) for t in TEMPLATES.values())
-    least = min(_needed(sorted(set(t.split()))) for t in TEMPLATES.values())
+#: Words between the starts of two runs; a run is twice as long.
+STEP = SPREAD * max(len(t.split()) for t in TEMPLATES.values())
+
+
+def tokenized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, n_words, parts): the words of every text in parts of STEP words,
+    of which those that a template or a phrase has are kept, with their place."""
+    vocabulary = sorted({w for t in (*TEMPLATES.values(), *PHRASES) for w in t.split()})
     names = ", ".join(f"'{w}'" for w in vocabulary)
-    texts = low.where(F.contains("low", F.lit("\n"))).select("id", "h", words_of(F.col("low")).alias("ws"))
-    starts = f"sequence(0, greatest(0, (size(ws) - {step} - 1) div {step}))"
-    parts = texts.select("id", "h", F.explode(F.expr(f"transform({starts}, b -> slice(ws, int(b * {step} + 1), {2 * step}))")).alias("part"))
-    spots = F.expr(f"filter(transform(part, (w, i) -> named_struct('at', i, 'w', w)), x -> x.w in ({names}))")
-    placed = parts.select("id", "h", spots.alias("spots"))
-    return placed.select("id", "h", F.array_distinct("spots.w").alias("known"), "spots").where(F.size("known") >= least)
-
-
-def similar_blocks(blocks: DataFrame) -> DataFrame:
-    """(id, h, label, containment) of every block and template that meet the
-    threshold. ``blocks`` has id, h and ``known``: the distinct words of the
-    block that any template has; and ``spots`` for runs, null for lines."""
-    spark = blocks.sparkSession
+    low = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words_of(lowered(F.coalesce(text_col, F.lit("")))).alias("ws"))
+    part = f"filter(transform(slice(ws, b * {STEP} + 1, {STEP}), (w, k) -> named_struct('at', b * {STEP} + k, 'w', w)), x -> x.w in ({names}))"
+    parts = f"if(size(ws) = 0, array(), transform(sequence(0, (size(ws) - 1) div {STEP}), b -> {part.replace('b * ', 'int(b) * ')}))"
+    return low.select("id", "h", F.size("ws").cast("long").alias("n_words"), F.expr(parts).alias("parts"))
+
+
+def _places() -> str:
+    """SQL: structs of place ``at`` and ``label`` of every phrase in ``spots``,
+    the kept words of a text in order."""
+    cases = []
+    for phrase, label in PHRASES.items():
+        ends = [f"get(spots, k + {n}).w <=> '{w}' and get(spots, k + {n}).at = x.at + {n}" for n, w in enumerate(phrase.split()) if n]
+        cases.append(f"when x.w = '{phrase.split()[0]}' and {' and '.join(ends)} then '{label}'")
+    every = f"transform(spots, (x, k) -> named_struct('at', x.at, 'label', case {' '.join(cases)} end))"
+    return f"filter({every}, p -> p.label is not null)"
+
+
+def similar_blocks(texts: DataFrame) -> DataFrame:
+    """(id, h, label, containment) of every run and template that meet the
+    threshold. ``texts`` is as ``tokenized`` gives."""
+    spark = texts.sparkSession
     sets = {label: sorted(set(text.split())) for label, text in TEMPLATES.items()}
-    counts = blocks.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    vocabulary = spark.createDataFrame([(w,) for w in sorted({w for s in sets.values() for w in s})], "word string")
-    # one row for each word of the fixed templates, whatever the input
-    ranked = vocabulary.join(counts, "word", "left").withColumn(
-        "place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.coalesce("n", F.lit(0)), "word"))
-    )
-    order = [r["word"] for r in ranked.orderBy("place").select("word").collect()]
+    words = F.explode(F.expr("flatten(transform(parts, p -> array_distinct(p.w)))")).alias("word")
+    counts = {r["word"]: r["n"] for r in texts.select(words).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    # the words of the fixed templates and phrases, whatever the input
+    order = sorted({w for s in sets.values() for w in s}, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     prefixes, needs = [], []
     for label, words in sets.items():
@@ -109,20 +115,23 @@ def similar_blocks(blocks: DataFrame) -> DataFrame:
     index = F.broadcast(
         spark.createDataFrame(prefixes, "word string, label string, p int, need int, span int, template array<string>")
     )
-    ordered = F.filter(F.lit(order), lambda w: F.array_contains("known", w))
-    sized = blocks.where(F.size("known") >= min(needs)).select("id", "h", ordered.alias("known"), "spots")
-    keyed = sized.select("id", "h", "known", "spots", F.posexplode("known").alias("q", "word"))
+    run = "concat(parts[int(b)], coalesce(get(parts, int(b) + 1), array()))"
+    runs = texts.where("n_words > 0").select("id", "h", F.explode(F.expr(f"transform(sequence(0, size(parts) - 1), b -> {run})")).alias("spots"))
+    keys = F.lit(sorted({p[0] for p in prefixes}))
+    sized = runs.where(F.size("spots") >= min(needs)).withColumn("has", F.array_distinct("spots.w"))
+    sized = sized.where((F.size("has") >= min(needs)) & F.arrays_overlap("has", keys))
+    ordered = F.filter(F.lit(order), lambda w: F.array_contains("has", w))
+    keyed = sized.select("id", "h", "spots", ordered.alias("known")).select("*", F.posexplode("known").alias("q", "word"))
     pairs = keyed.join(index, "word").where(
         (F.size("known") >= F.col("need"))
         & (F.size("template") - F.col("p") >= F.col("need"))
         & (F.size("known") - F.col("q") + F.col("p") >= F.col("need"))
     )
-    shared = F.size(F.array_intersect("template", "known"))
     here = "filter(spots, y -> y.at between x.at and x.at + span - 1).w"
     close = F.expr(f"array_max(transform(spots, x -> size(array_intersect(template, {here}))))")
     return (
-        pairs.where(shared >= F.col("need"))
-        .withColumn("shared", F.when(F.col("spots").isNull(), shared).otherwise(close))
+        pairs.where(F.size(F.array_intersect("template", "known")) >= F.col("need"))
+        .withColumn("shared", close)
         .where(F.col("shared") >= F.col("need"))
         .select("id", "h", "label", (F.col("shared") / F.size("template")).alias("containment"))
     )
@@ -137,30 +146,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text get the same result; ids may be null or repeated. Other columns are
     ignored. Equal label sets never depend on the order of rows.
     """
-    low = docs.select(
-        F.col(id_col).alias("id"),
-        F.xxhash64(text_col).alias("h"),
-        F.lower(F.coalesce(text_col, F.lit(""))).alias("low"),
-    )
-    vocabulary = sorted({w for t in TEMPLATES.values() for w in t.split()})
-    lines = low.select("id", "h", F.explode(F.split("low", "\n", -1)).alias("line"))
-    known = F.array_intersect(words_of(F.col("line")), F.lit(vocabulary))
-    lines = lines.select("id", "h", known.alias("known"), F.lit(None).cast("array<struct<at:int,w:string>>").alias("spots"))
-    blocks = materialize(lines.where(F.size("known") > 0).unionByName(runs_of(low)))
-    found = similar_blocks(blocks).groupBy("id", "h").agg(
+    texts = materialize(tokenized(docs, id_col, text_col))
+    found = similar_blocks(texts).groupBy("id", "h").agg(
         F.collect_set("label").alias("similar"), F.max("containment").alias("containment")
     )
-    ws = F.when(F.contains("low", F.lit("license")), words_of(F.col("low"))).otherwise(F.array().cast("array<string>"))
     own = (
-        low.select("id", "h", F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"), ws.alias("ws"))
-        .select("id", "h", "n_words", F.expr(_places("ws")).alias("places"))
+        texts.select("id", "h", "n_words", F.flatten("parts").alias("spots"))
+        .select("id", "h", "n_words", F.expr(_places()).alias("places"))
         .select(
             "id",
             "h",
             "n_words",
             F.size("places").cast("long").alias("n_base"),
-            F.array_min(F.expr("places.i")).cast("long").alias("first_word"),
-            F.array_max(F.expr("places.i")).cast("long").alias("last_word"),
+            F.array_min(F.expr("places.at")).cast("long").alias("first_word"),
+            F.array_max(F.expr("places.at")).cast("long").alias("last_word"),
             F.array_sort(F.array_distinct(F.expr("places.label"))).alias("base"),
         )
     )
@@ -195,10 +194,10 @@ def _sql() -> str:
     rows = []
     for label, text in TEMPLATES.items():
         words = sorted(set(text.split()))
-        rows.append(f"('{label}', {words!r}, {_needed(words)})")
+        rows.append(f"('{label}', {words!r}, {_needed(words)}, {SPREAD * len(text.split())})")
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-WITH t(label, words, need) AS (VALUES {", ".join(rows)}),
+WITH t(label, words, need, span) AS (VALUES {", ".join(rows)}),
 d AS (SELECT doc_id, {lower} AS low FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(low, '{WORD}') AS w FROM d),
 i AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w),
@@ -207,11 +206,18 @@ b AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base
   FROM p WHERE label IS NOT NULL GROUP BY doc_id
 ),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), '{WORD}')) AS words FROM d),
+v AS (SELECT label, need, span, len(words) AS n, unnest(words) AS word FROM t),
+o AS (SELECT doc_id, label, need, span, n, i, word FROM i JOIN v ON word = w[i + 1]),
+c AS (SELECT doc_id, label FROM o GROUP BY doc_id, label HAVING count(DISTINCT word) >= any_value(need)),
+r AS (
+  SELECT a.doc_id, a.label, a.need, a.n, a.i, count(DISTINCT b.word) AS shared
+  FROM c JOIN o a USING (doc_id, label)
+  JOIN o b ON a.doc_id = b.doc_id AND a.label = b.label AND b.i BETWEEN a.i AND a.i + a.span - 1
+  GROUP BY ALL
+),
 s AS (
   SELECT doc_id, list(DISTINCT label) AS alike, max(shared / n) AS containment
-  FROM (SELECT doc_id, label, need, len(t.words) AS n, len(list_intersect(l.words, t.words)) AS shared FROM l, t)
-  WHERE shared >= need GROUP BY doc_id
+  FROM r WHERE shared >= need GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
