@@ -6,15 +6,20 @@ are exploded, equi-joined to the piece table, and the edges found are grouped
 by word: the lattice. A higher-order ``aggregate`` folds each lattice into the
 best segmentation: the Viterbi path for a unigram model; for a BPE model the
 merges in order of their rank, because the path of the best rank sum is not
-what a BPE model means (README has figures). Occurrences then meet their
-word's pieces by joins.
-
-Skew and size: the words that are most frequent in a sample, at most HOT_WORDS,
-are encoded first and broadcast, so frequent words never meet in one task; all
-others go through a shuffled join. Two kinds of rare words are encoded by the tokenizer library in
-Arrow batches instead: those longer than LONG characters, as a fold over a
-lattice takes quadratic time, and under BPE those with runs of blanks, whose
-pieces share one rank, so that one pass over ranks does not order them.
+what a BPE model means (README has figures). Every document's ids are then put
+together, decoded, restored and compared with the document.
+
+Skew and size: the words that are most frequent in a sample, at most HOT_WORDS
+of at most HOT_LENGTH bytes, are encoded first and broadcast, so that the words
+that make up most of every text never move. A document leaves its task as the
+numbers of its words; of its other words only the distinct ones are dealt out,
+each with the documents it came from, encoded, and sent back to their
+documents. Both reads of the texts depend on the texts alone, so a lost task is
+done again with the same result. Two kinds of rare words are encoded by the
+tokenizer library in Arrow batches instead: those longer than LONG characters,
+as a fold over a lattice takes quadratic time, and under BPE those with runs of
+blanks, whose pieces share one rank, so that one pass over ranks does not order
+them.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,22 +42,21 @@ from millrace.scratch import materialize
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 HOT_WORDS = 1 << 18
+HOT_LENGTH = 64
 SAMPLE_TEXTS = 8192
 HASH_RANGE = 1 << 31
+SEED = 42
 WORDS_PER_TASK = 1 << 15
+TEXT_PER_TASK = 1 << 24
+#: Bytes of texts, or of word numbers, that are worked on at a time.
+SLICE_BYTES = 1 << 22
 LONG = 256
 #: Bits of an edge that hold start and length, each, and the id of its piece.
 BITS, ID_BITS = 9, 17
-STOPS = ".,"
 #: Fixed values of the model file format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-#: Places that no piece may cross, tried in turn: the first must hold for a model.
-CUTS = (
-    rf"(?<=[^{BLANK}])(?={BLANK})|(?<=\n)|(?=\n)|(?<=\p{{L}})(?=[^\p{{L}}\p{{M}}{BLANK}])",
-    rf"(?<=[^{BLANK}])(?={BLANK})",
-)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,12 +107,16 @@ class PieceModel:
     def unknown_id(self) -> int:
         return next((i for i, (_, _, k) in enumerate(self.pieces) if k == UNKNOWN), 0)
 
-    def cut_pattern(self) -> str:
-        for pattern in CUTS:
-            cut = regex.compile(pattern, regex.V1)
-            if not any(len(p) > 1 and len([x for x in cut.split(p) if x]) > 1 for p, _, _ in self.usable):
-                return pattern
-        raise ValueError("a piece of this model holds a blank behind other characters")
+    def cuts(self) -> np.ndarray:
+        """Flags over pairs of bytes, 256 * first + second: no piece holds the
+        second right behind the first, so a text may be cut between them. Never
+        within a character. Blanks count as the byte 32."""
+        cut = np.ones((256, 256), bool)
+        cut[:, 0x80:0xC0] = False
+        for piece, _, _ in self.usable:
+            data = np.frombuffer(piece.replace(BLANK, " ").encode(), np.uint8)
+            cut[data[:-1], data[1:]] = False
+        return cut.ravel()
 
 
 def read_model(path: str = MODEL_PATH) -> PieceModel:
@@ -130,31 +138,116 @@ def read_model(path: str = MODEL_PATH) -> PieceModel:
     return PieceModel(tuple(pieces), kind, prefix, data)
 
 
-def split_words(text: Column, model: PieceModel) -> Column:
-    """Array of the stretches that are encoded on their own, and empty texts
-    between them; null when the text is null or empty. Blanks are written as
-    U+2581, one is put in front.
+def marked(text: Column, model: PieceModel) -> Column:
+    """The text that the model sees, with plain blanks: one is put in front of
+    every text that is not null or empty, and U+2581 means a blank."""
+    prefix = F.lit(" " if model.dummy_prefix else "")
+    return F.when(F.length(text) > 0, F.concat(prefix, F.replace(text, F.lit(BLANK), F.lit(" ")))).otherwise(F.lit(""))
 
-    Most texts are cut at blanks and newlines and before stops, which needs no
-    pattern. A text where that would cut a piece (runs of blanks, a stop behind
-    a character that some piece joins to it) is cut by the model's pattern.
+
+def _slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that hold at most ``most`` bytes, or one row each."""
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, stop
+        at = stop
+
+
+def split_words(texts: pa.Array, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, in order and without a copy, and for each text
+    and the end the number of words before it. Texts are as ``marked`` gives."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, size = int(ends[0]), int(ends[-1] - ends[0])
+    if not size:
+        return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[first : first + size]
+    begins = np.empty(size, bool)
+    pairs = data[:-1].astype(np.uint16)
+    pairs <<= 8
+    pairs |= data[1:]
+    np.take(cuts, pairs, out=begins[1:])
+    local = ends - first
+    begins[local[:-1][np.diff(local) > 0]] = True
+    places = np.flatnonzero(begins)
+    offsets = np.append(places, size) + first
+    words = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(offsets), texts.buffers()[2])
+    return words, np.searchsorted(places, local)
+
+
+@dataclass(frozen=True)
+class Frequent:
+    """Frequent words, the most frequent first, and their ids."""
+
+    words: pa.Array
+    ids: pa.Array
+
+
+def number_words(texts: pa.Array, cuts: np.ndarray, frequent: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The words of texts as numbers: its place for a frequent word; for another
+    the count of the frequent words plus its place among the distinct other
+    words of its text, in order of their first occurrence. So a text's numbers
+    depend on that text only.
+
+    Returns the numbers, for each text and the end the number of words before
+    it, and for each distinct other word of each text: text, place and word.
     """
-    prefix = F.lit(BLANK) if model.dummy_prefix else F.lit("")
-    pattern = model.cut_pattern()
-    marked = F.concat(prefix, F.replace(text, F.lit(" "), F.lit(" " + BLANK)))
-    if r"\n" in pattern:
-        marked = F.replace(marked, F.lit("\n"), F.lit(" \n "))
-    care = F.contains(text, F.lit("  ")) | F.contains(text, F.lit(BLANK)) | F.startswith(text, F.lit(" "))
-    for stop in STOPS:
-        behind = {p[i - 1] for p, _, _ in model.usable for i in range(1, len(p)) if p[i] == stop}
-        for before in sorted(behind | {BLANK}):
-            care = care | F.contains(text, F.lit(before.replace(BLANK, " ") + stop))
-        if model.dummy_prefix:
-            care = care | F.startswith(text, F.lit(stop))
-        marked = F.replace(marked, F.lit(stop), F.lit(" " + stop))
-    quick = F.split(marked, " ", -1)
-    exact = F.split(F.concat(prefix, F.replace(text, F.lit(" "), F.lit(BLANK))), pattern, -1)
-    return F.when(F.length(text) > 0, F.when(care, exact).otherwise(quick))
+    words, bounds = split_words(texts, cuts)
+    coded = words.dictionary_encode()
+    known = pc.fill_null(pc.index_in(coded.dictionary, value_set=frequent), -1).to_numpy().astype(np.int64)
+    which = coded.indices.to_numpy()
+    numbers = known[which]
+    rare = np.flatnonzero(numbers < 0)
+    owner = np.searchsorted(bounds, rare, "right") - 1
+    _, first, inverse = np.unique(owner * (len(known) + 1) + which[rare], return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    text = owner[first[order]]
+    place = np.arange(len(order)) - np.searchsorted(text, text)
+    place_of = np.empty(len(order), np.int64)
+    place_of[order] = place
+    numbers[rare] = len(frequent) + place_of[inverse]
+    return numbers, bounds, text, place, coded.dictionary.take(pa.array(which[rare[first[order]]]))
+
+
+def pack(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Rows of numbers as bytes: seven bits each, the lowest first, the highest
+    bit set on all but the last byte of a number."""
+    size = np.ones(len(numbers), np.int64)
+    for bits in range(7, 63, 7):
+        more = numbers >= 1 << bits
+        if not more.any():
+            break
+        size += more
+    starts = np.concatenate(([0], np.cumsum(size)))
+    data = np.empty(starts[-1], np.uint8)
+    at, left, size = starts[:-1], numbers, size
+    while len(left):
+        longer = size > 1
+        data[at] = (left & 127) | np.where(longer, 128, 0)
+        at, left, size = at[longer] + 1, left[longer] >> 7, size[longer] - 1
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(starts[bounds]), pa.py_buffer(data)])
+
+
+def unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse of ``pack``: numbers, and for each row and the end the numbers before it."""
+    rows = rows.cast(pa.large_binary())
+    ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    if ends[0] == ends[-1]:
+        return np.empty(0, np.int64), np.zeros(len(ends), np.int64)
+    data = np.frombuffer(rows.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    last = np.flatnonzero(data < 128)
+    starts = np.concatenate(([0], last[:-1] + 1))
+    numbers = (data[starts] & 127).astype(np.int64)
+    size, some, at, shift = last - starts, np.arange(len(starts)), starts, 0
+    while True:
+        longer = size > 0
+        if not longer.any():
+            break
+        some, at, size, shift = some[longer], at[longer] + 1, size[longer] - 1, shift + 7
+        numbers[some] |= (data[at] & 127).astype(np.int64) << shift
+    return numbers, np.searchsorted(starts, ends - ends[0])
 
 
 def ranked(model: PieceModel) -> list[tuple[str, int, float]]:
@@ -163,13 +256,13 @@ def ranked(model: PieceModel) -> list[tuple[str, int, float]]:
 
 
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
-    """``words`` (word) with ``edges``: all pieces in each word, as sorted
-    numbers that hold rank, id, start (from 1) and length of a piece. A word
-    without a known piece has the single edge -1.
+    """``words`` with ``edges``: all pieces in each word, as sorted numbers that
+    hold rank, id, start (from 1) and length of a piece, after the edge -1.
 
     The edges of a word leave the explode and the broadcast join one after the
-    other, so they are grouped as they come, without a shuffle or a sort of all
-    edges, and only one batch is held.
+    other, the edge -1 first, so they are grouped as they come, without a
+    shuffle or a sort of all edges, and only one batch is held. An order other
+    than this one is an error, not a wrong result.
     """
     longest = max((len(p) for p, _, _ in model.usable), default=1)
     if len(model.pieces) >= 1 << ID_BITS:
@@ -178,41 +271,46 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     table = pd.DataFrame([("", -1), *codes], columns=["piece", "code"])
     # the size of the vocabulary bounds what is broadcast
     pieces = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, code long"))
-    starts = words.select("word", F.explode(F.expr("sequence(1, char_length(word))")).alias("s"))
-    lengths = f"sequence(if(s = 1, 0, 1), least({longest}, char_length(word) - s + 1))"
-    spans = starts.select("word", "s", F.explode(F.expr(lengths)).alias("l"))
-    spans = spans.withColumn("piece", F.expr("substring(word, s, l)"))
-    edge = F.expr(f"if(code < 0, -1L, code + s * {1 << BITS} + l)")
-    edges = spans.join(pieces, "piece").select("word", edge.alias("edge"))
-    return edges.mapInArrow(_group_runs, "word string, edges array<bigint>")
+    starts = words.select("*", F.replace("word", F.lit(" "), F.lit(BLANK)).alias("_text"))
+    starts = starts.select("*", F.explode(F.expr("sequence(1, char_length(_text))")).alias("_s"))
+    lengths = f"sequence(if(_s = 1, 0, 1), least({longest}, char_length(_text) - _s + 1))"
+    spans = starts.select("*", F.explode(F.expr(lengths)).alias("_l")).withColumn("piece", F.expr("substring(_text, _s, _l)"))
+    edge = F.expr(f"if(code < 0, -1L, code + _s * {1 << BITS} + _l)")
+    once = [F.when(F.col("_l") == 0, F.col(c)).alias(c) for c in words.columns]
+    edges = spans.join(pieces, "piece").select(*once, edge.alias("edges"))
+    return edges.mapInArrow(_group_runs, words.withColumn("edges", F.lit(None).cast("array<bigint>")).schema)
 
 
 def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, edge) to one row for each run of a word, its edges sorted."""
+    """Rows (columns of the word, edge) to one row for each word: the columns
+    are those of its first row, whose edge is -1."""
     held = None
     for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [*held, batch]).combine_chunks()
-        word, edge = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in table.columns)
-        if not len(word):
+        if not batch.num_rows:
             continue
-        new = np.flatnonzero(pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)) + 1
-        starts = np.concatenate(([0], new))
-        last = int(starts[-1])
+        table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        starts = np.flatnonzero(table.column("edges").to_numpy() == -1)
+        last = int(starts[-1]) if len(starts) else 0
         if last:
-            yield _runs(word.slice(0, last), edge.slice(0, last), starts[:-1])
-        held = table.slice(last).to_batches()
-    if held:
-        word, edge = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
-        yield _runs(word, edge, np.array([0]))
-
-
-def _runs(word: pa.Array, edge: pa.Array, starts: np.ndarray) -> pa.RecordBatch:
-    bounds = np.append(starts, len(word)).astype(np.int32)
-    values = edge.to_numpy()
+            yield _runs(table.slice(0, last), starts[:-1])
+        held = table.slice(last)
+    if held is not None:
+        yield _runs(held, np.array([0]))
+
+
+def _runs(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    values = rows.column("edges").to_numpy()
+    bounds = np.append(starts, len(values)).astype(np.int32)
+    place = values & ((1 << 2 * BITS) - 1)
+    place[starts] = -1
+    rises = np.diff(place) > 0
+    rises[starts[1:] - 1] = True
+    if values[0] != -1 or not rises.all():
+        raise RuntimeError("the edges of a word did not arrive in order")
     order = np.lexsort((values, np.repeat(np.arange(len(starts)), np.diff(bounds))))
     lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order]))
-    at = pa.array(starts)
-    return pa.RecordBatch.from_arrays([word.take(at), lists], ["word", "edges"])
+    first = rows.take(pa.array(starts))
+    return pa.RecordBatch.from_arrays([*first.columns[:-1], lists], first.schema.names)
 
 
 def _start(e: str) -> str:
@@ -275,47 +373,46 @@ def border_ids(model: PieceModel) -> str:
     """SQL over ``word``, ``edges`` and ``borders``: the ids of the pieces."""
     place = "array_position(keys, cast(borders[i] as bigint) * {0} + borders[i + 1] - borders[i])".format(1 << BITS)
     known = f"array(cast(shiftright(edges[cast(p as int) - 1], {2 * BITS}) & {(1 << ID_BITS) - 1}L as int))"
-    spelled = f"transform(array(substring(word, borders[i], borders[i + 1] - borders[i])), c -> {_spelled(model)})[0]"
+    one_char = f"replace(substring(word, borders[i], borders[i + 1] - borders[i]), ' ', '{BLANK}')"
+    spelled = f"transform(array({one_char}), c -> {_spelled(model)})[0]"
     one = f"transform(array({place}), p -> if(p > 0, {known}, {spelled}))[0]"
     keys = f"transform(edges, e -> e & {(1 << 2 * BITS) - 1}L)"
     return f"transform(array({keys}), keys -> flatten(transform(sequence(0, size(borders) - 2), i -> {one})))[0]"
 
 
 def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, ids) for distinct, non-empty words."""
+    """``words`` (word, not empty, and other columns) with ``ids``. Blanks may be
+    written as such or as U+2581."""
     foldable = F.char_length("word") <= LONG
     if model.kind == BPE:
-        foldable = foldable & ~F.contains("word", F.lit(BLANK * 2))
+        foldable = foldable & ~F.contains(F.replace("word", F.lit(BLANK), F.lit(" ")), F.lit("  "))
     short = lattice(words.where(foldable), model)
     fold = fold_merges(model) if model.kind == BPE else fold_viterbi(model)
-    folded = short.withColumn("borders", F.expr(fold)).select("word", F.expr(border_ids(model)).alias("ids"))
+    folded = short.withColumn("borders", F.expr(fold)).select(*words.columns, F.expr(border_ids(model)).alias("ids"))
     proto = model.proto
 
-    def by_library(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         processor = lead = None
-        for frame in frames:
-            if processor is None and len(frame):
+        for batch in batches:
+            if processor is None and batch.num_rows:
                 processor = sentencepiece.SentencePieceProcessor(model_proto=proto)
                 lead = len(processor.encode("\n"))
             # a newline ends every word, so that what follows it is encoded as it stands
-            yield frame.assign(ids=[processor.encode("\n" + w)[lead:] for w in frame["word"]])
+            ids = [processor.encode("\n" + w)[lead:] for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
-    long = words.where(~foldable).select("word")
-    return folded.unionByName(long.mapInPandas(by_library, "word string, ids array<int>"))
+    return folded.unionByName(words.where(~foldable).mapInArrow(by_library, folded.schema))
 
 
 def decode(ids: Column, model: PieceModel) -> Column:
-    """Text of an array of ids, blanks still written as U+2581."""
-    spelled = []
-    for piece, _, kind in model.pieces:
-        raw = bytes([int(piece[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else piece.encode()
-        spelled.append(raw)
+    """The text that the model saw, of an array of ids."""
+    spelling = _spelling(model)
 
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
-        parts = pa.array(spelled, pa.large_binary()).take(lists.flatten())
+        parts = spelling.take(lists.flatten())
         ends = np.frombuffer(parts.buffers()[1], np.int64)[: len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
@@ -328,36 +425,7 @@ def decode(ids: Column, model: PieceModel) -> Column:
 
 def restore(text: Column, model: PieceModel) -> Column:
     """Plain text of what ``decode`` gives for a whole document."""
-    plain = F.replace(text, F.lit(BLANK), F.lit(" "))
-    return F.substring(plain, 2, 2**31 - 1) if model.dummy_prefix else plain
-
-
-def occurrences(docs: DataFrame, model: PieceModel, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, pos, word): the words of every text in order; one row with null
-    ``pos`` and ``word`` for a null or empty text. ``h`` tells apart texts of
-    one id; where no id repeats it is 0."""
-    several = not docs.groupBy(F.col(id_col)).count().where("count > 1").isEmpty()
-    spots = docs.select(
-        F.col(id_col).alias("id"),
-        (F.xxhash64(text_col) if several else F.lit(0).cast("long")).alias("h"),
-        F.posexplode_outer(split_words(F.col(text_col), model)).alias("pos", "word"),
-    )
-    return spots.where("word is null or word <> ''")
-
-
-def with_columns(coded: DataFrame, model: PieceModel, columns: list[str]) -> DataFrame:
-    """(word, *columns) of encoded words, the columns being of: ids, n_pieces,
-    n_bytes, digest, exact (the decoded ids spell the word)."""
-    first = (model.byte_ids or [len(model.pieces)])[0]
-    whole = coded.withColumns(
-        {
-            "n_pieces": F.size("ids"),
-            "n_bytes": F.size(F.filter("ids", lambda i: i.between(first, first + 255))),
-            "digest": F.xxhash64("ids"),
-            "exact": decode(F.col("ids"), model) == F.col("word"),
-        }
-    )
-    return whole.select("word", *columns)
+    return F.substring(text, 2, 2**31 - 1) if model.dummy_prefix else text
 
 
 def spread(words: DataFrame) -> DataFrame:
@@ -366,87 +434,208 @@ def spread(words: DataFrame) -> DataFrame:
     return words.repartition(-(-words.count() // WORDS_PER_TASK) or 1, "word")
 
 
-def frequent_words(docs: DataFrame, model: PieceModel, columns: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(key, hot_word, *columns) of at most HOT_WORDS words: the most frequent
-    ones of about SAMPLE_TEXTS texts, taken by the hash of their ids. Which
-    words these are decides how a word is joined and nothing else."""
-    share = SAMPLE_TEXTS * HASH_RANGE // max(1, docs.count())
-    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(HASH_RANGE)) <= share)
-    words = sample.select(F.explode(split_words(F.col(text_col), model)).alias("word")).where("word <> ''")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(HOT_WORDS)
-    coded = materialize(with_columns(encode_words(spread(materialize(top.select("word"))), model), model, columns))
-    return coded.select(F.xxhash64("word").alias("key"), F.col("word").alias("hot_word"), *columns)
-
-
-def pieces_of(docs: DataFrame, model: PieceModel, columns: list[str], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, h, pos, *columns) of all occurrences, in two frames: those of the
-    frequent words, which are broadcast, and the others, which also hold the rows
-    of empty texts. Of the others the distinct words are encoded and then joined
-    to the occurrences."""
-    hot = F.broadcast(frequent_words(docs, model, columns, id_col, text_col))
-    spots = occurrences(docs, model, id_col, text_col).withColumn("key", F.xxhash64("word"))
-    # the number is the only join key, which makes the table of frequent words a
-    # map of longs; that the words are equal is then told by their prefixes
-    found = (spots["key"] == hot["key"]) & F.startswith("word", "hot_word") & F.startswith("hot_word", "word")
-    frequent = spots.join(hot, found).select("id", "h", "pos", *columns)
-    rest = spots.join(hot, found, "left_anti").select("id", "h", "pos", "word")
-    distinct = materialize(rest.where("word is not null").select("word").distinct())
-    coded = materialize(with_columns(encode_words(spread(distinct), model), model, columns))
-    return frequent, rest.join(coded, "word", "left").select("id", "h", "pos", *columns)
+def _prepared(docs: DataFrame, model: PieceModel, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, digest, text): the texts as the model sees them, the hash of the
+    texts as they stand, and in ``h`` that hash again to tell apart the texts of
+    one id. Where no id repeats ``h`` is 0, which takes no room in a shuffle."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    several = not docs.groupBy(F.col(id_col)).count().where("count > 1").isEmpty()
+    h = F.xxhash64(text) if several else F.lit(0).cast("long")
+    return docs.select(F.col(id_col).alias("id"), h.alias("h"), F.xxhash64(text).alias("digest"), marked(text, model).alias("text"))
+
+
+def frequent_words(prepared: DataFrame, model: PieceModel) -> tuple[Frequent, int]:
+    """At most HOT_WORDS words of at most HOT_LENGTH bytes, the most frequent
+    ones of about SAMPLE_TEXTS texts, taken by the hash of their ids; and how
+    many bytes all texts have by this sample. Which words these are decides how
+    a word travels and nothing else."""
+    cuts, n = model.cuts(), prepared.count()
+    share = SAMPLE_TEXTS * HASH_RANGE // max(1, n)
+    pick = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("digest")))
+    sample = prepared.where(F.pmod(pick, F.lit(HASH_RANGE)) <= share)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _slices(batch.column(0), SLICE_BYTES):
+                found = split_words(batch.column(0).slice(a, b - a), cuts)[0].value_counts()
+                texts = pa.array([b - a] + [0] * (len(found) - 1), pa.int64()) if len(found) else pa.array([], pa.int64())
+                yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1), texts], ["word", "n", "texts"])
+
+    counts = sample.select("text").mapInArrow(count, "word string, n long, texts long").groupBy("word")
+    counts = materialize(counts.agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")))
+    size = counts.agg(F.sum(F.col("n") * F.octet_length("word")).alias("bytes"), F.sum("texts").alias("texts")).first()
+    top = counts.where(F.octet_length("word") <= HOT_LENGTH).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", "n")
+    table = encode_words(spread(materialize(top)), model).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).combine_chunks()
+    words, ids = (table.column(c).cast(t).combine_chunks() for c, t in (("word", pa.large_string()), ("ids", pa.list_(pa.int32()))))
+    return Frequent(words, ids), int((size["bytes"] or 0) / max(1, size["texts"] or 0) * n)
+
+
+def _numbered(prepared: DataFrame, cuts: np.ndarray, shared) -> tuple[DataFrame, DataFrame]:
+    """(id, h, digest, others, numbers) of every row, the numbers being packed
+    and ``others`` the number of its distinct other words; and these words: (id,
+    h, place, word). ``shared`` is the broadcast of the frequent words."""
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _slices(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                found, bounds, text, _, _ = number_words(part.column("text"), cuts, shared.value.words)
+                others = np.bincount(text, minlength=b - a).astype(np.int32)
+                rows = pack(found, bounds).cast(pa.binary())
+                same = [part.column(c) for c in ("id", "h", "digest")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(others), rows], ["id", "h", "digest", "others", "numbers"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _slices(batch.column("text"), SLICE_BYTES):
+                part = batch.slice(a, b - a)
+                _, _, text, place, word = number_words(part.column("text"), cuts, shared.value.words)
+                ids, hashes = (part.column(c).take(pa.array(text)) for c in ("id", "h"))
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(place.astype(np.int32)), word.cast(pa.string())], ["id", "h", "place", "word"])
+
+    kind = prepared.schema["id"].dataType.simpleString()
+    return (
+        prepared.mapInArrow(numbers, f"id {kind}, h long, digest long, others int, numbers binary"),
+        prepared.mapInArrow(others, f"id {kind}, h long, place int, word string"),
+    )
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, h, place, word) in order of their words to rows (word, spots),
+    one for each word of a batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word = batch.column("word")
+        new = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+        spots = pa.StructArray.from_arrays([batch.column(c) for c in ("id", "h", "place")], ["id", "h", "place"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(word)).astype(np.int32)), spots)
+        yield pa.RecordBatch.from_arrays([word.take(pa.array(starts)), lists], ["word", "spots"])
+
+
+def pieces_of(docs: DataFrame, model: PieceModel, id_col: str, text_col: str) -> tuple[DataFrame, object]:
+    """Rows in order, partition by partition: a document's row (id, h, digest,
+    place -1, others, numbers), or several of them that are alike, and then (id, h, place,
+    ids) for each of its other words, repeated when its row is. And the
+    broadcast of the frequent words, whose number and length are bounded."""
+    prepared = _prepared(docs, model, id_col, text_col)
+    frequent, size = frequent_words(prepared, model)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    rows, others = _numbered(prepared, model.cuts(), shared)
+    dealt = others.repartition(-(-size // TEXT_PER_TASK) or 1, "word").sortWithinPartitions("word")
+    kind = prepared.schema["id"].dataType.simpleString()
+    gathered = dealt.mapInArrow(_gather, f"word string, spots array<struct<id:{kind},h:bigint,place:int>>")
+    found = encode_words(gathered, model).select(F.explode("spots").alias("s"), "ids").select("s.id", "s.h", "s.place", "ids")
+    both = rows.withColumn("place", F.lit(-1)).unionByName(found, allowMissingColumns=True)
+    return both.repartition("id", "h").sortWithinPartitions("id", "h", "place"), shared
+
+
+def _documents(batches: Iterator[pa.RecordBatch], frequent: Frequent) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the rows of ``pieces_of``: documents' rows, with the ids of all of
+    them, for each document and the end the number of ids before it, and the
+    documents' numbers of words. A document is given once its words are there."""
+    held = None
+    for batch in _and_none(batches):
+        if batch is None:
+            if held is not None:
+                yield from _assembled(held, frequent)
+            return
+        if not batch.num_rows:
+            continue
+        table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        place = table.column("place").to_numpy()
+        # documents whose words may still be to come: the last ones that have any
+        waits = (place < 0) & (pc.fill_null(table.column("others"), 0).to_numpy() > 0)
+        runs = np.flatnonzero(waits & np.concatenate(([True], ~waits[:-1])))
+        whole = int(runs[-1]) if len(runs) else table.num_rows
+        if whole:
+            yield from _assembled(table.slice(0, whole), frequent)
+        held = table.slice(whole) if whole < table.num_rows else None
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _assembled(table: pa.RecordBatch, frequent: Frequent) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    place = table.column("place").to_numpy()
+    is_word = place >= 0
+    is_word[1:] &= place[1:] != place[:-1]
+    docs = np.flatnonzero(place < 0)
+    before = np.cumsum(is_word)[docs]
+    others = table.column("ids").take(pa.array(np.flatnonzero(is_word))).cast(pa.list_(pa.int32()))
+    lists = pa.concat_arrays([frequent.ids, others])
+    rows = table.take(pa.array(docs))
+    for a, b in _slices(rows.column("numbers"), SLICE_BYTES >> 4):
+        numbers, bounds = unpack(rows.column("numbers").slice(a, b - a))
+        rare = np.flatnonzero(numbers >= len(frequent.ids))
+        numbers[rare] += before[a + np.searchsorted(bounds, rare, "right") - 1]
+        pieces = lists.take(pa.array(numbers))
+        upto = np.concatenate(([0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))))
+        yield rows.slice(a, b - a), pieces.flatten().to_numpy(), upto[bounds], np.diff(bounds)
+
+
+def _spelling(model: PieceModel) -> pa.Array:
+    """The bytes of every piece, with plain blanks."""
+    spelled = []
+    for piece, _, kind in model.pieces:
+        raw = bytes([int(piece[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else piece.replace(BLANK, " ").encode()
+        spelled.append(raw)
+    return pa.array(spelled, pa.large_binary())
 
 
 def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the piece ids of every text; none for null or empty texts.
 
-    Equal rows of one id give equal rows. Columns other than the two named are
-    ignored.
+    Repeated rows stay. Columns other than the two named are ignored.
     """
-    frequent, others = pieces_of(docs, model, ["ids"], id_col, text_col)
-    rows = frequent.unionByName(others)
-    grouped = rows.groupBy("id", "h").agg(
-        F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "ids")))).alias("x"),
-        F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("rows"),
-    )
-    ids = F.flatten(F.transform("x", lambda e: e["ids"]))
-    return grouped.select(F.col("id").alias(id_col), ids.alias("ids"), F.explode(F.expr("sequence(1, int(rows))")).alias("_row")).drop("_row")
+    rows, shared = pieces_of(docs, model, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, bounds, _ in _documents(batches, shared.value):
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def encoding_report(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``n_words``, ``n_pieces``, ``n_bytes`` (byte pieces),
-    ``ids_digest`` (depends on every id and its place) and ``round_trip``
-    (whether the decoded pieces of every word spell the word).
+    ``ids_digest`` (of all ids in their order) and ``round_trip``: whether the
+    ids of the whole document, decoded and restored, give its text (by hash).
 
-    Null and empty texts have no pieces. A text that holds U+2581 itself
-    decodes to a blank there, as the format has it. Repeated rows stay.
-    Columns other than the two named are ignored.
+    Null and empty texts have no pieces. A text that holds U+2581 itself does
+    not come back, as the format has it. Repeated rows stay. Columns other than
+    the two named are ignored.
     """
-    columns = ["n_pieces", "n_bytes", "digest", "exact"]
-    frequent, others = pieces_of(docs, model, columns, id_col, text_col)
-
-    def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id", "h").agg(
-            F.count("pos").alias("words"),
-            F.sum("n_pieces").alias("pieces"),
-            F.sum("n_bytes").alias("bytes"),
-            F.sum(F.pmod(F.xxhash64("digest", "pos"), F.lit(1 << 31))).alias("digest"),
-            F.min("exact").alias("exact"),
-            F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).alias("rows"),
-        )
-
-    whole = summed(frequent).unionByName(summed(others)).groupBy("id", "h").agg(
-        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("words", "pieces", "bytes", "digest", "rows")],
-        F.min("exact").alias("exact"),
-    )
-    each = lambda c: F.expr(f"{c} div rows")
-    return whole.select(
-        F.col("id").alias(id_col),
-        each("words").alias("n_words"),
-        each("pieces").alias("n_pieces"),
-        each("bytes").alias("n_bytes"),
-        F.when(F.col("pieces") > 0, each("digest")).otherwise(F.lit(0)).alias("ids_digest"),
-        F.coalesce("exact", F.lit(True)).alias("round_trip"),
-        F.explode(F.expr("sequence(1, int(rows))")).alias("_row"),
-    ).drop("_row")
+    rows, shared = pieces_of(docs, model, id_col, text_col)
+    spelling, lead = _spelling(model), int(model.dummy_prefix)
+    low = (model.byte_ids or [len(model.pieces)])[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for part, ids, bounds, words in _documents(batches, shared.value):
+            spelled = spelling.take(pa.array(ids))
+            ends = np.frombuffer(spelled.buffers()[1], np.int64)[bounds].tolist() if len(ids) else [0] * len(bounds)
+            text, raw = memoryview(spelled.buffers()[2] or b""), memoryview(np.ascontiguousarray(ids)).cast("B")
+            in_bytes = np.concatenate(([0], np.cumsum((ids >= low) & (ids < low + 256))))[bounds]
+            at = bounds.tolist()
+            spans = list(zip(at[:-1], at[1:], strict=True))
+            digests = np.array([digest(raw[4 * a : 4 * b], SEED) for a, b in spans], np.uint64).view(np.int64)
+            back = np.array(
+                [digest(text[x + lead * (a < b) : y], SEED) for (a, b), x, y in zip(spans, ends[:-1], ends[1:], strict=True)], np.uint64
+            ).view(np.int64)
+            columns = [words, np.diff(bounds), np.diff(in_bytes), digests, back == part.column("digest").to_numpy()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), *map(pa.array, columns)], ["id", "n_words", "n_pieces", "n_bytes", "ids_digest", "round_trip"]
+            )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, n_words long, n_pieces long, n_bytes long, ids_digest long, round_trip boolean"
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
