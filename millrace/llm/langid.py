@@ -15,7 +15,7 @@ of every text from the Arrow buffers without making Python strings.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +23,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.tables import load
+from millrace.llm.tables import free_names, load
+from millrace.scratch import materialize
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
 GRAMS = (2, 3, 4)
 DIM = 16
-SAMPLE_PER_LANG = 500
-MAX_LANGS = 256
+#: Bounds on the labelled rows that training takes; every language has its share.
+SAMPLE_PER_LANG, SAMPLE_ROWS = 500, 1 << 15
 HASH_RANGE = 1 << 31
 EPOCHS = 3
 RATE = 0.3
 REJECT_BELOW = 0.5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _CLASS = np.arange(256, dtype=np.uint32)
 _CLASS[:128] = 32
@@ -85,15 +86,19 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``table[l]`` holds the weight of every bucket for language ``langs[l]``."""
+    """``table`` holds for every bucket its weights for the languages, or, when
+    there are more languages than dimensions, its embedding, which ``head``
+    turns into weights for the languages."""
 
     langs: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
+    head: np.ndarray | None = None
 
     def logits(self, sums: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        return sums / np.maximum(grams, 1)[:, None] + self.bias
+        mean = sums / np.maximum(grams, 1)[:, None]
+        return (mean if self.head is None else mean @ self.head) + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -106,13 +111,17 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel | None:
 
     Deterministic for a given order of rows. No rows: None.
     """
-    langs = tuple(sorted({lang for _, lang in rows}))
+    return fit_features([(*features(text), lang) for text, lang in rows], seed)
+
+
+def fit_features(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> LanguageModel | None:
+    """``fit`` on (buckets, shares, lang)."""
+    langs = tuple(sorted({lang for _, _, lang in rows}))
     if not langs:
         return None
     rng = np.random.default_rng(seed)
     known = {lang: i for i, lang in enumerate(langs)}
-    data = [(*features(text), known[lang]) for text, lang in rows]
-    data = [d for d in data if len(d[0])]
+    data = [(ids, share, known[lang]) for ids, share, lang in rows if len(ids)]
     tune = data[::8] if len(data) >= 64 else data
     train = [d for i, d in enumerate(data) if i % 8] if len(data) >= 64 else data
     embed = rng.normal(0, 1 / DIM, (1 << BUCKET_BITS, DIM))
@@ -133,11 +142,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel | None:
             out -= rate * 10 * np.outer(hidden, p)
             bias -= rate * 0.1 * p
             embed[ids] -= rate * 100 * share[:, None] * back
-    table = np.ascontiguousarray((embed @ out).T)
-    model = LanguageModel(langs, table, bias, 1.0)
+    table, head = ((embed @ out).T, None) if len(langs) <= DIM else (embed.T, out)
+    model = LanguageModel(langs, np.ascontiguousarray(table), bias, 1.0, head)
     if not tune:
         return model
-    logits = np.array([table[:, ids] @ share for ids, share, _ in tune]) + bias
+    logits = model.logits(np.array([table[:, ids] @ share for ids, share, _ in tune]), np.ones(len(tune)))
     truth = np.array([y for _, _, y in tune])
 
     def loss(t: float) -> float:
@@ -146,7 +155,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel | None:
         return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(truth)), truth]).mean())
 
     best = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0), key=loss)
-    return LanguageModel(langs, table, bias, best)
+    return replace(model, temperature=best)
 
 
 def fold_of(id_col: str = "doc_id") -> Column:
@@ -156,28 +165,44 @@ def fold_of(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel | None:
-    """Fit on at most SAMPLE_PER_LANG rows of each of the MAX_LANGS most
-    frequent languages of the training folds, taken in hash order of the id.
+    """Fit on rows of every language of the training folds, in hash order of the
+    id: at most SAMPLE_PER_LANG of each, and at most SAMPLE_ROWS of all unless
+    that left a language without a row.
 
     The ranking reads ids and languages only, and of each language only as many
     of the lowest hashes as hold the sample, so that a frequent language gives
     its task no more rows than another. The texts of the sample then come by a
-    join.
+    join, and only their features reach the driver, whatever the texts' lengths.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~fold_of(id_col))
-    usable = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    top = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    usable = usable.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    sizes = materialize(usable.groupBy("lang").agg(F.count("*").alias("n")))
+    most = max(1, min(SAMPLE_PER_LANG, SAMPLE_ROWS // max(1, sizes.count())))
     order = Window.partitionBy("lang").orderBy("hash", "id")
-    low = F.pmod(F.col("hash"), F.lit(HASH_RANGE)) <= F.lit(2.0 * SAMPLE_PER_LANG * HASH_RANGE) / F.col("n")
+    low = F.pmod(F.col("hash"), F.lit(HASH_RANGE)) <= F.lit(2.0 * most * HASH_RANGE) / F.col("n")
     ranked = (
-        usable.select("id", "lang", F.xxhash64("id").alias("hash")).join(F.broadcast(top), "lang").where(low)
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_PER_LANG)
+        usable.select("id", "lang", F.xxhash64("id").alias("hash")).join(sizes, "lang").where(low)
+        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     )
-    # at most SAMPLE_PER_LANG * MAX_LANGS ids, each with one text
-    chosen = F.broadcast(ranked.groupBy("id", "lang").agg(F.min("rank").alias("rank")))
+    # at most ``most`` ids of each language, each with one text
+    chosen = ranked.groupBy("id", "lang").agg(F.min("rank").alias("rank"))
+    if most * sizes.count() <= SAMPLE_ROWS:
+        chosen = F.broadcast(chosen)
     picked = usable.join(chosen, ["id", "lang"]).groupBy("id", "lang", "rank").agg(F.min("text").alias("text"))
-    rows = sorted(picked.collect(), key=lambda r: (r["rank"], r["lang"], r["text"]))
-    return fit([(r["text"], r["lang"]) for r in rows])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["lang", "rank", "ids", "shares"])
+
+    schema = "lang string, rank int, ids array<int>, shares array<float>"
+    table = picked.select("lang", "rank", "text").mapInArrow(counted, schema).toArrow()
+    table = table.sort_by([("rank", "ascending"), ("lang", "ascending")]).combine_chunks()
+    ids, shares = (table.column(c).combine_chunks() for c in ("ids", "shares"))
+    rows = range(table.num_rows)
+    langs = table.column("lang").to_pylist()
+    return fit_features([(ids[i].values.to_numpy(), shares[i].values.to_numpy(), langs[i]) for i in rows])
 
 
 def _large_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +221,7 @@ def score_texts(model: LanguageModel, column: pa.Array) -> np.ndarray:
     """
     offsets, data = _large_binary(column)
     rows = len(column)
-    sums = np.zeros((rows, len(model.langs)))
+    sums = np.zeros((rows, len(model.table)))
     grams = np.zeros(rows)
     longest = max(GRAMS)
     for at in range(int(offsets[0]), int(offsets[-1]), CHUNK_BYTES):
@@ -219,7 +244,7 @@ def score_texts(model: LanguageModel, column: pa.Array) -> np.ndarray:
                 continue
             target = first + full[inside]
             grams[target] += np.add.reduceat(ok, starts[inside], dtype=np.int64)
-            for j in range(len(model.langs)):
+            for j in range(len(model.table)):
                 weights = model.table[j][ids]
                 weights *= ok
                 sums[target, j] += np.add.reduceat(weights, starts[inside])
@@ -230,6 +255,32 @@ def has_letter(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
+def judged(model: LanguageModel | None, text_col: str = "text") -> Column:
+    """Struct of ``lang_pred`` and ``score`` of a text. Texts go to Python and
+    nothing comes back but these two."""
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        known = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+        if model is not None and known.any():
+            p = score_texts(model, pc.fill_null(texts, ""))
+            best = p.argmax(1)
+            lang[known] = np.array(model.langs, object)[best[known]]
+            score[known] = p[np.arange(len(p)), best][known]
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+
+    return predict(F.when(has_letter(text_col), F.col(text_col)))
+
+
+def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, all columns as they are."""
+    (found,) = free_names(docs, "found")
+    judgement = docs.withColumn(found, judged(model, text_col))
+    kept = (F.col(found)["lang_pred"] != UNKNOWN) & (F.col(found)["score"] >= reject_below)
+    return judgement.where(kept).select(*docs.columns)
+
+
 def identify(
     docs: DataFrame, model: LanguageModel | None, text_col: str = "text", reject_below: float = REJECT_BELOW
 ) -> DataFrame:
@@ -240,28 +291,15 @@ def identify(
     rejected; without a model so does every text. Whole texts are read.
     Repeated rows stay. Columns of these three names in ``docs`` are replaced.
     """
-    kept = docs.drop("lang_pred", "score", "rejected").withColumn("_letters", has_letter(text_col))
-    names = kept.columns
-    schema = kept.drop("_letters").selectExpr("*", "'' lang_pred", "0D score", "false rejected").schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letters = np.asarray(batch.column(names.index("_letters")).to_numpy(zero_copy_only=False), bool)
-            lang = np.full(batch.num_rows, UNKNOWN, object)
-            score = np.zeros(batch.num_rows)
-            if model is not None and letters.any():
-                texts = pc.fill_null(batch.column(names.index(text_col)), "")
-                p = score_texts(model, texts)
-                best = p.argmax(1)
-                lang[letters] = np.array(model.langs, object)[best[letters]]
-                score[letters] = p[np.arange(len(p)), best][letters]
-            columns = [batch.column(i) for i, n in enumerate(names) if n != "_letters"]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(lang, pa.string()), pa.array(score), pa.array((score < reject_below) | ~letters)],
-                [f.name for f in schema],
-            )
-
-    return kept.mapInArrow(run, schema)
+    kept = docs.drop("lang_pred", "score", "rejected")
+    (found,) = free_names(kept, "found")
+    score, lang = F.col(found)["score"], F.col(found)["lang_pred"]
+    return kept.withColumn(found, judged(model, text_col)).select(
+        *kept.columns,
+        lang.alias("lang_pred"),
+        score.alias("score"),
+        ((score < reject_below) | (lang == UNKNOWN)).alias("rejected"),
+    )
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,4 +307,4 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = train(docs)
     narrow = docs.select("doc_id", fold_of().alias("held_out"), "text")
-    return identify(narrow, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+    return identify(narrow, model).drop("text")
