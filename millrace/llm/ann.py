@@ -30,11 +30,11 @@ QUERY_STEP = 20
 TREES = 2
 SAMPLE_ROWS = 1 << 14
 #: Rows of the sample in a leaf, about: the depth follows from the rows.
-LEAF_ROWS = 8
+LEAF_ROWS = 4
 #: Leaves are taken until they hold this part of the sample, repeats between
 #: trees included. Vectors without any cluster structure need this much for a
 #: recall of 0.9; see the README.
-SEARCH_SHARE = 0.75
+SEARCH_SHARE = 0.8
 #: Leaves of a branch: a set of them is the bits of a long.
 BRANCH = 32
 PART_ROWS = 4096
