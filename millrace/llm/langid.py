@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.tables import free_names, load
+from millrace.llm.workers import frugal
 from millrace.scratch import materialize
 
 UNKNOWN = "und"
@@ -197,7 +198,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["lang", "rank", "ids", "shares"])
 
     schema = "lang string, rank int, ids array<int>, shares array<float>"
-    table = picked.select("lang", "rank", "text").mapInArrow(counted, schema).toArrow()
+    table = picked.select("lang", "rank", "text").mapInArrow(frugal(counted), schema).toArrow()
     table = table.sort_by([("rank", "ascending"), ("lang", "ascending")]).combine_chunks()
     ids, shares = (table.column(c).combine_chunks() for c in ("ids", "shares"))
     rows = range(table.num_rows)
@@ -260,15 +261,17 @@ def judged(model: LanguageModel | None, text_col: str = "text") -> Column:
     nothing comes back but these two."""
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def predict(texts: pa.Array) -> pa.Array:
-        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-        known = pc.is_valid(texts).to_numpy(zero_copy_only=False)
-        if model is not None and known.any():
-            p = score_texts(model, pc.fill_null(texts, ""))
-            best = p.argmax(1)
-            lang[known] = np.array(model.langs, object)[best[known]]
-            score[known] = p[np.arange(len(p)), best][known]
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+    @frugal
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            known = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+            if model is not None and known.any():
+                p = score_texts(model, pc.fill_null(texts, ""))
+                best = p.argmax(1)
+                lang[known] = np.array(model.langs, object)[best[known]]
+                score[known] = p[np.arange(len(p)), best][known]
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
     return predict(F.when(has_letter(text_col), F.col(text_col)))
 
