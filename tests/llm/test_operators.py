@@ -718,3 +718,18 @@ def test_recall_of_the_neighbour_query(spark, data_dir):
         hits += len({i for _, i in near} & set(found[found["query_id"] == q]["vec_id"]))
         total += len(near)
     assert hits / total >= 0.9
+
+
+def test_frugal_functions_give_what_they_gave(monkeypatch):
+    from millrace.llm import workers
+
+    times = []
+    monkeypatch.setattr(workers, "give_back", lambda: times.append(1))
+    doubled = workers.frugal(lambda batches: (2 * x for x in batches))
+    assert list(doubled(iter([1, 2, 3]))) == [2, 4, 6] and times == [1]
+    early = doubled(iter([1, 2, 3]))
+    assert next(early) == 2
+    early.close()
+    assert times == [1, 1] and list(doubled(iter([]))) == []
+    monkeypatch.undo()
+    workers.give_back()
