@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.tables import free_names, load
-from millrace.llm.workers import frugal
+from millrace.llm.workers import bound_batches, frugal, give_back, map_batches
 from millrace.scratch import materialize
 
 UNKNOWN = "und"
@@ -198,12 +198,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["lang", "rank", "ids", "shares"])
 
     schema = "lang string, rank int, ids array<int>, shares array<float>"
-    table = picked.select("lang", "rank", "text").mapInArrow(frugal(counted), schema).toArrow()
+    table = map_batches(picked.select("lang", "rank", "text"), counted, schema).toArrow()
     table = table.sort_by([("rank", "ascending"), ("lang", "ascending")]).combine_chunks()
     ids, shares = (table.column(c).combine_chunks() for c in ("ids", "shares"))
     rows = range(table.num_rows)
     langs = table.column("lang").to_pylist()
-    return fit_features([(ids[i].values.to_numpy(), shares[i].values.to_numpy(), langs[i]) for i in rows])
+    model = fit_features([(ids[i].values.to_numpy(), shares[i].values.to_numpy(), langs[i]) for i in rows])
+    del table, ids, shares
+    give_back()
+    return model
 
 
 def _large_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -278,6 +281,7 @@ def judged(model: LanguageModel | None, text_col: str = "text") -> Column:
 
 def accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, all columns as they are."""
+    bound_batches(docs.sparkSession)
     (found,) = free_names(docs, "found")
     judgement = docs.withColumn(found, judged(model, text_col))
     kept = (F.col(found)["lang_pred"] != UNKNOWN) & (F.col(found)["score"] >= reject_below)
@@ -294,6 +298,7 @@ def identify(
     rejected; without a model so does every text. Whole texts are read.
     Repeated rows stay. Columns of these three names in ``docs`` are replaced.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score", "rejected")
     (found,) = free_names(kept, "found")
     score, lang = F.col(found)["score"], F.col(found)["lang_pred"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.tables import free_names, load
-from millrace.llm.workers import frugal
+from millrace.llm.workers import map_batches
 from millrace.operators.components import connected_components
 from millrace.scratch import materialize
 
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values.view(np.int64))], ["id", "h", "fp"])
 
     narrow = _narrow(docs, id_col, text_col)
-    return narrow.mapInArrow(frugal(run), f"id {narrow.schema['id'].dataType.simpleString()}, h long, fp long")
+    return map_batches(narrow, run, f"id {narrow.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -321,7 +321,7 @@ def similar_groups(
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps), bands], ["id", "h", "fp", "bands"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    prints = materialize(narrow.mapInArrow(frugal(run), f"id {kind}, h long, fp long, bands array<long>"))
+    prints = materialize(map_batches(narrow, run, f"id {kind}, h long, fp long, bands array<long>"))
     banded = prints.select("fp", F.explode("bands").alias("band")).distinct()
     least = banded.groupBy("band").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
     stars = banded.join(least, "band").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst")).distinct()
@@ -342,7 +342,7 @@ def similar_groups(
 
     own = F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))
     texts = narrow.join(owners, own).select("cluster", "fp", "tiles", "text")
-    sets = texts.mapInArrow(frugal(to_sets), "cluster long, fp long, tiles int, s array<long>")
+    sets = map_batches(texts, to_sets, "cluster long, fp long, tiles int, s array<long>")
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     met = sets.withColumn("own", tile).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     met = met.select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "s")

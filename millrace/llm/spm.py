@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.tables import load
-from millrace.llm.workers import frugal
+from millrace.llm.workers import give_back, map_batches
 from millrace.scratch import materialize
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -279,7 +279,7 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     edge = F.expr(f"if(code < 0, -1L, code + _s * {1 << BITS} + _l)")
     once = [F.when(F.col("_l") == 0, F.col(c)).alias(c) for c in words.columns]
     edges = spans.join(pieces, "piece").select(*once, edge.alias("edges"))
-    return edges.mapInArrow(frugal(_group_runs), words.withColumn("edges", F.lit(None).cast("array<bigint>")).schema)
+    return map_batches(edges, _group_runs, words.withColumn("edges", F.lit(None).cast("array<bigint>")).schema)
 
 
 def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +404,7 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
             ids = [processor.encode("\n" + w)[lead:] for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"])
 
-    return folded.unionByName(words.where(~foldable).mapInArrow(frugal(by_library), folded.schema))
+    return folded.unionByName(map_batches(words.where(~foldable), by_library, folded.schema))
 
 
 def decode(ids: Column, model: PieceModel) -> Column:
@@ -462,7 +462,7 @@ def frequent_words(prepared: DataFrame, model: PieceModel) -> tuple[Frequent, in
                 texts = pa.array([b - a] + [0] * (len(found) - 1), pa.int64()) if len(found) else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1), texts], ["word", "n", "texts"])
 
-    counts = sample.select("text").mapInArrow(frugal(count), "word string, n long, texts long").groupBy("word")
+    counts = map_batches(sample.select("text"), count, "word string, n long, texts long").groupBy("word")
     counts = materialize(counts.agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")))
     size = counts.agg(F.sum(F.col("n") * F.octet_length("word")).alias("bytes"), F.sum("texts").alias("texts")).first()
     top = counts.where(F.octet_length("word") <= HOT_LENGTH).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", "n")
@@ -496,8 +496,8 @@ def _numbered(prepared: DataFrame, cuts: np.ndarray, shared) -> tuple[DataFrame,
 
     kind = prepared.schema["id"].dataType.simpleString()
     return (
-        prepared.mapInArrow(frugal(numbers), f"id {kind}, h long, digest long, others int, numbers binary"),
-        prepared.mapInArrow(frugal(others), f"id {kind}, h long, place int, word string"),
+        map_batches(prepared, numbers, f"id {kind}, h long, digest long, others int, numbers binary"),
+        map_batches(prepared, others, f"id {kind}, h long, place int, word string"),
     )
 
 
@@ -523,10 +523,12 @@ def pieces_of(docs: DataFrame, model: PieceModel, id_col: str, text_col: str) ->
     prepared = _prepared(docs, model, id_col, text_col)
     frequent, size = frequent_words(prepared, model)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    del frequent
+    give_back()
     rows, others = _numbered(prepared, model.cuts(), shared)
     dealt = others.repartition(-(-size // TEXT_PER_TASK) or 1, "word").sortWithinPartitions("word")
     kind = prepared.schema["id"].dataType.simpleString()
-    gathered = dealt.mapInArrow(frugal(_gather), f"word string, spots array<struct<id:{kind},h:bigint,place:int>>")
+    gathered = map_batches(dealt, _gather, f"word string, spots array<struct<id:{kind},h:bigint,place:int>>")
     found = encode_words(gathered, model).select(F.explode("spots").alias("s"), "ids").select("s.id", "s.h", "s.place", "ids")
     both = rows.withColumn("place", F.lit(-1)).unionByName(found, allowMissingColumns=True)
     return both.repartition("id", "h").sortWithinPartitions("id", "h", "place"), shared
@@ -600,7 +602,7 @@ def encode(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "ids"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(frugal(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_batches(rows, run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def encoding_report(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -636,7 +638,7 @@ def encoding_report(docs: DataFrame, model: PieceModel, id_col: str = "doc_id",
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_pieces long, n_bytes long, ids_digest long, round_trip boolean"
-    return rows.mapInArrow(frugal(run), schema).withColumnRenamed("id", id_col)
+    return map_batches(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

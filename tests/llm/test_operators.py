@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -733,3 +734,25 @@ def test_frugal_functions_give_what_they_gave(monkeypatch):
     assert times == [1, 1] and list(doubled(iter([]))) == []
     monkeypatch.undo()
     workers.give_back()
+
+
+def test_batches_are_bounded_in_bytes_and_hold_every_row(spark):
+    from millrace.llm import workers
+
+    spark.conf.unset(workers.BATCH_SETTING)
+    texts = ["a" * 1_500_000] * 8 + ["b" * 6_000_000, "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    try:
+        rows = workers.map_batches(docs, sizes, "n long, size long").collect()
+        assert sum(r.n for r in rows) == len(texts)
+        assert max(r.size for r in rows) < workers.BATCH_BYTES + 7_000_000 and len(rows) > 3
+        spark.conf.set(workers.BATCH_SETTING, "123456")
+        workers.bound_batches(spark)
+        assert spark.conf.get(workers.BATCH_SETTING) == "123456"
+    finally:
+        spark.conf.unset(workers.BATCH_SETTING)
