@@ -14,10 +14,11 @@
 Hot groups: equal texts share one fingerprint and are collapsed before the
 comparison; a crowded cell is cut into tiles of bounded size.
 
-``similar_texts`` groups by the Jaccard similarity of the shingle sets instead.
-Such pairs differ in too many bits of a fingerprint for a search by radius, so
-their candidates come from BANDS bands of BAND_ROWS minima each and every link
-is verified on the whole sets.
+``similar_texts`` groups by the Jaccard similarity of the shingle sets. The
+fingerprints of the sets that lie within the radius, found as above, are its
+first candidates. Most such pairs differ in more bits than a search by radius
+reaches, so BANDS bands of BAND_ROWS minima each propose the others. Every link
+is verified on the whole sets, whoever proposed it.
 """
 
 from __future__ import annotations
@@ -73,7 +74,11 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     Null and texts without words give 0; with fewer words than a shingle has,
     the whole sequence counts as one shingle.
     """
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 for none."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)
@@ -287,13 +292,14 @@ def similar_texts(
     shingle: int = SIMILAR_SHINGLE,
     similarity: float = SIMILARITY,
     tile_rows: int = SIMILAR_TILE,
+    radius: int = RADIUS,
 ) -> DataFrame:
     """One row per input row: id and ``component_id``, the smallest id reachable
     over pairs whose sets of word shingles have a Jaccard ``similarity`` or more.
 
     Null texts and texts without words are alike. Rows without an id take part.
     """
-    groups = similar_groups(docs, id_col, text_col, shingle, similarity, tile_rows)
+    groups = similar_groups(docs, id_col, text_col, shingle, similarity, tile_rows, radius)
     return groups.select(F.col("id").alias(id_col), "component_id")
 
 
@@ -304,12 +310,14 @@ def similar_groups(
     shingle: int = SIMILAR_SHINGLE,
     similarity: float = SIMILARITY,
     tile_rows: int = SIMILAR_TILE,
+    radius: int = RADIUS,
 ) -> DataFrame:
     """(id, h, fp, component, component_id) of all rows, by similarity.
 
-    Texts that share a band are joined to clusters; within a cluster every text
-    meets every other, a crowded one being cut into tiles. ``fp`` numbers the
-    distinct sets of shingles.
+    Texts whose fingerprints lie within ``radius`` bits or that share a band are
+    joined to clusters; within a cluster every text meets every other, a crowded
+    one being cut into tiles. ``fp`` numbers the distinct sets of shingles, and
+    the fingerprint is that of the set.
     """
     narrow = _narrow(docs, id_col, text_col)
 
@@ -317,15 +325,20 @@ def similar_groups(
         for batch in batches:
             found = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(2)]
             fps = np.fromiter(map(set_hash, found), np.uint64, len(found)).view(np.int64)
+            # the empty set is like no other
+            empty = np.fromiter((not len(x) for x in found), bool, len(found))
+            bits = pa.array(np.fromiter(map(majority, found), np.uint64, len(found)).view(np.int64), mask=empty)
             bands = pa.array([band_hashes(x) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps), bands], ["id", "h", "fp", "bands"])
+            columns = [*batch.columns[:2], pa.array(fps), bits, bands]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "fp", "bits", "bands"])
 
     kind = narrow.schema["id"].dataType.simpleString()
-    prints = materialize(map_batches(narrow, run, f"id {kind}, h long, fp long, bands array<long>"))
+    prints = materialize(map_batches(narrow, run, f"id {kind}, h long, fp long, bits long, bands array<long>"))
     banded = prints.select("fp", F.explode("bands").alias("band")).distinct()
     least = banded.groupBy("band").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
     stars = banded.join(least, "band").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst")).distinct()
-    members = materialize(connected_components(stars).select(F.col("node").alias("fp"), F.col("component").alias("cluster")))
+    candidates = stars.unionByName(_fingerprint_links(prints, radius))
+    members = materialize(connected_components(candidates).select(F.col("node").alias("fp"), F.col("component").alias("cluster")))
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("tiles"))
     reps = prints.join(members, "fp").groupBy("fp", "cluster").agg(F.min(F.struct("id", "h")).alias("rep"))
     owners = reps.join(sizes, "cluster").select("fp", "cluster", "tiles", F.col("rep.id").alias("rep"), F.col("rep.h").alias("rep_h"))
@@ -356,6 +369,18 @@ def similar_groups(
     return _labelled(prints.select("id", "h", "fp"), links)
 
 
+def _fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
+    """(src, dst) links between sets ``fp`` that span the groups whose
+    fingerprints ``bits`` lie within ``radius``, equal ones among them."""
+    near = near_links(prints.select(F.col("bits").alias("fp")), radius)
+    owners = prints.where("bits is not null").groupBy("bits").agg(F.min("fp").alias("low"))
+    equal = prints.join(owners, "bits").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst"))
+    left = owners.select(F.col("bits").alias("src"), F.col("low").alias("a"))
+    right = owners.select(F.col("bits").alias("dst"), F.col("low").alias("b"))
+    apart = near.join(left, "src").join(right, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return equal.unionByName(apart).distinct()
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest
     id, rows without an id coming last; of several texts of that id the one of

@@ -121,6 +121,19 @@ def test_similar_texts_equal_brute_force(spark, tile):
     assert {r["doc_id"] for r in kept} == {i for i in group if group[i] == i} and len(kept) < len(rows) - 10
 
 
+def test_fingerprints_propose_what_no_band_does(spark):
+    import corpus_pipeline
+
+    # 20 of 25 shingles shared, no band shared, fingerprints 2 bits apart
+    words = [f"w51113879x{i}" for i in range(29)]
+    texts = " ".join(words), " ".join(words[:24])
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    assert not set(simhash.band_hashes(sets[0])) & set(simhash.band_hashes(sets[1]))
+    frame = docs(spark, [(3, texts[1], "en", "s"), (1, texts[0], "en", "s"), (2, "some other text of six words", "en", "s")])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(frame).collect()} == {1: 1, 2: 2, 3: 1}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == [1, 2]
+
+
 def test_similar_texts_of_odd_rows(spark):
     found = simhash.similar_texts(odd_docs(spark)).collect()
     assert len(found) == odd_docs(spark).count()
