@@ -49,6 +49,8 @@ BANDS, BAND_ROWS = 24, 5
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 SIMILAR_TILE = 512
+#: Up to so many links are joined to groups by one task, more by rounds of joins.
+FEW_LINKS = 1 << 19
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -230,11 +232,30 @@ def near_groups(
     return _labelled(prints, near_links(prints, radius))
 
 
-def _labelled(prints: DataFrame, links: DataFrame) -> DataFrame:
+def joined_groups(links: DataFrame) -> DataFrame:
+    """``connected_components`` of links (src, dst) between longs that differ, in
+    one task if they are few: the rounds' many small jobs cost the driver more
+    memory than the links take."""
+    links = materialize(links.select("src", "dst"))
+    if links.count() > FEW_LINKS:
+        return connected_components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            node, root = spanning_forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            roots = np.unique(root)
+            columns = [pa.array(np.concatenate(x)) for x in ((node, roots), (root, roots))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "component"])
+
+    return map_batches(links.coalesce(1), run, "node long, component long")
+
+
+def _labelled(prints: DataFrame, links: DataFrame, join=connected_components) -> DataFrame:
     """``prints`` (id, h, fp) with ``component``, a number for each group, and
     ``component_id``, its smallest id, for links between values of ``fp``."""
     firsts = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    groups = connected_components(links)
+    groups = join(links)
     linked = firsts.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
@@ -338,7 +359,7 @@ def similar_groups(
     least = banded.groupBy("band").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1")
     stars = banded.join(least, "band").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst")).distinct()
     candidates = stars.unionByName(_fingerprint_links(prints, radius))
-    members = materialize(connected_components(candidates).select(F.col("node").alias("fp"), F.col("component").alias("cluster")))
+    members = materialize(joined_groups(candidates).select(F.col("node").alias("fp"), F.col("component").alias("cluster")))
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(tile_rows)).cast("int").alias("tiles"))
     reps = prints.join(members, "fp").groupBy("fp", "cluster").agg(F.min(F.struct("id", "h")).alias("rep"))
     owners = reps.join(sizes, "cluster").select("fp", "cluster", "tiles", F.col("rep.id").alias("rep"), F.col("rep.h").alias("rep_h"))
@@ -366,7 +387,7 @@ def similar_groups(
         return pd.DataFrame(pairs, columns=["src", "dst"]).astype("int64")
 
     links = met.groupBy("cluster", "a", "b").applyInPandas(compare, "src long, dst long")
-    return _labelled(prints.select("id", "h", "fp"), links)
+    return _labelled(prints.select("id", "h", "fp"), links, joined_groups)
 
 
 def _fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:

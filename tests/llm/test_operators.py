@@ -134,6 +134,20 @@ def test_fingerprints_propose_what_no_band_does(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == [1, 2]
 
 
+def test_few_links_take_no_rounds_and_many_give_the_same(spark, monkeypatch):
+    rng = random.Random(6)
+    pairs = [(a, b) for a, b in ((rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)) if a != b]
+    links = spark.createDataFrame(pairs, "src long, dst long").repartition(3)
+    rounds, by_rounds = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda x: rounds.append(1) or by_rounds(x))
+    few = sorted(map(tuple, simhash.joined_groups(links).collect()))
+    assert not rounds and few
+    monkeypatch.setattr(simhash, "FEW_LINKS", 10)
+    assert sorted(map(tuple, simhash.joined_groups(links).collect())) == few and rounds
+    monkeypatch.undo()
+    assert simhash.joined_groups(links.limit(0)).collect() == []
+
+
 def test_similar_texts_of_odd_rows(spark):
     found = simhash.similar_texts(odd_docs(spark)).collect()
     assert len(found) == odd_docs(spark).count()
