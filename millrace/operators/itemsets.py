@@ -1,9 +1,11 @@
 """Frequent itemsets, level by level, as joins and aggregations.
 
 Level k joins the frequent (k-1)-sets on their common prefix, keeps those all
-of whose subsets are frequent, and counts them against the baskets. Counting
-extends the occurrences of the prefix set by one item, so no basket is ever
-compared with all candidates. Each level's occurrences are checkpointed.
+of whose subsets are frequent, and counts them against the baskets. Equal
+baskets are one row with their number. An occurrence of a set keeps the items
+that come after it in its basket, so counting extends occurrences of the prefix
+set by one item each: no basket is ever compared with all candidates, and no
+join with the baskets is needed. Each level's occurrences are written once.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ def baskets_of(pairs: DataFrame, basket: str, item: str, larger_than: int = 0) -
     the two names for the other orientation."""
     table = pairs.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where(
         "basket is not null and item is not null"
-    ).distinct()
+    ).repartition("basket").distinct()
     if larger_than:
         large = table.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > larger_than).select("basket")
         table = table.join(large, "basket", "left_semi")
@@ -37,11 +39,26 @@ def frequent_items(baskets: DataFrame, support: int) -> DataFrame:
     return baskets.groupBy(F.col("item").alias("i1")).agg(F.count("*").alias("n")).where(F.col("n") >= support)
 
 
+def collapsed(baskets: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rest, w): the sorted items of a basket and how many baskets of the
+    same keys hold just these."""
+    whole = baskets.groupBy("basket", *keys).agg(F.array_sort(F.collect_list("item")).alias("rest"))
+    return whole.groupBy(*keys, "rest").agg(F.count("*").alias("w"))
+
+
+def extended(places: DataFrame, item: str) -> DataFrame:
+    """Every occurrence with each item that comes after it as a column ``item``;
+    ``rest`` becomes what comes after that."""
+    kept = [c for c in places.columns if c != "rest"]
+    long = places.select(*kept, "rest", F.posexplode("rest").alias("_at", item))
+    return long.select(*kept, item, F.slice("rest", F.col("_at") + 2, F.size("rest")).alias("rest"))
+
+
 def pair_filter(pairs: DataFrame, support: int, buckets: int = PAIR_BUCKETS) -> DataFrame:
-    """Drops occurrences of pairs whose hash bucket is too light for any of its
-    pairs to be frequent. Changes no answer."""
+    """Drops occurrences, each of ``w`` baskets, of pairs whose hash bucket is too
+    light for any of its pairs to be frequent. Changes no answer."""
     hashed = pairs.withColumn("bucket", F.pmod(F.xxhash64("i1", "i2"), F.lit(buckets)))
-    heavy = hashed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("bucket")
+    heavy = hashed.groupBy("bucket").agg(F.sum("w").alias("n")).where(F.col("n") >= support).select("bucket")
     return hashed.join(heavy, "bucket", "left_semi").drop("bucket")
 
 
@@ -63,22 +80,21 @@ def frequent_sets(baskets: DataFrame, support: int, longest: int | None = None,
     ``longest`` levels."""
     level = materialize(frequent_items(baskets, support))
     found, k = [], 1
-    kept = materialize(baskets.join(level.select(F.col("i1").alias("item")), "item", "left_semi"))
-    places = kept.select("basket", F.col("item").alias("i1"))
+    kept = baskets.join(level.select(F.col("i1").alias("item")), "item", "left_semi")
+    places = extended(materialize(collapsed(kept)), "i1")
     while not level.isEmpty():
         found.append(level)
         k += 1
         if longest is not None and k > longest:
             break
-        step = kept.select("basket", F.col("item").alias(f"i{k}"))
-        places = places.join(step, "basket").where(F.col(f"i{k - 1}") < F.col(f"i{k}"))
+        places = extended(places, f"i{k}")
         if k == 2 and hash_pairs:
             places = pair_filter(places, support)
         if k > 2:
             places = places.join(candidates(level, k), names(k), "left_semi")
-        counts = places.groupBy(*names(k)).agg(F.count("*").alias("n")).where(F.col("n") >= support)
-        level = materialize(counts)
-        places = materialize(places.join(level.select(*names(k)), names(k), "left_semi")) if longest is None or k < longest else places
+        level = materialize(places.groupBy(*names(k)).agg(F.sum("w").alias("n")).where(F.col("n") >= support))
+        if longest is None or k < longest:
+            places = materialize(places.where("size(rest) > 0").join(level.select(*names(k)), names(k), "left_semi"))
     return found
 
 
@@ -92,24 +108,36 @@ def local_candidates(baskets: DataFrame, support: int, parts: int, longest: int
     single = dealt.groupBy(*columns).agg(F.count("*").alias("n")).where(F.col("n") >= least)
     local = dealt.join(single.select(*columns), columns, "left_semi")
     every = single.select(F.array("item").alias("items")).distinct()
-    places = local.select("basket", "part", F.array("item").alias("items"))
+    places = extended(materialize(collapsed(local, "part")), "item").withColumn("items", F.array("item")).drop("item")
     k = 1
     while (longest is None or k < longest) and not places.isEmpty():
         k += 1
-        step = local.select("basket", "part", "item")
-        places = places.join(step, ["basket", "part"]).where(F.element_at("items", -1) < F.col("item"))
-        places = places.select("basket", "part", F.concat("items", F.array("item")).alias("items"))
-        held = places.groupBy("part", "items").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("part", "items")
-        places = materialize(places.join(held, ["part", "items"], "left_semi"))
-        every = every.unionByName(places.select("items").distinct())
+        places = _grown(places)
+        held = materialize(places.groupBy("part", "items").agg(F.sum("w").alias("n")).where(F.col("n") >= least).select("part", "items"))
+        every = every.unionByName(held.select("items").distinct())
+        places = materialize(places.where("size(rest) > 0").join(held, ["part", "items"], "left_semi"))
     return materialize(every.distinct())
 
 
+def _grown(places: DataFrame) -> DataFrame:
+    longer = extended(places, "item")
+    return longer.withColumn("items", F.concat("items", F.array("item"))).drop("item")
+
+
 def count_sets(baskets: DataFrame, wanted: DataFrame, support: int) -> DataFrame:
-    """(items, n) of the wanted sets that so many baskets hold."""
-    sized = wanted.select("items", F.size("items").alias("k"), F.explode("items").alias("item"))
-    hits = sized.join(baskets, "item").groupBy("items", "k", "basket").agg(F.count("*").alias("c")).where("c = k")
-    return hits.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    """(items, n) of the wanted sets that so many baskets hold. Occurrences grow
+    along the first items of wanted sets, whose items are in order."""
+    wanted = wanted.select("items")
+    longest = wanted.agg(F.max(F.size("items")).alias("k")).first()["k"] or 0
+    used = wanted.select(F.explode("items").alias("item")).distinct()
+    places = materialize(collapsed(baskets.join(used, "item", "left_semi")))
+    places = places.withColumn("items", F.slice("rest", 1, 0))
+    counts = wanted.select("items", F.lit(0).cast("long").alias("n")).limit(0)
+    for k in range(1, longest + 1):
+        first = wanted.where(F.size("items") >= k).select(F.slice("items", 1, k).alias("items")).distinct()
+        places = materialize(_grown(places).join(first, "items", "left_semi"))
+        counts = counts.unionByName(places.groupBy("items").agg(F.sum("w").alias("n")).where(F.col("n") >= support))
+    return counts.join(wanted, "items", "left_semi")
 
 
 def two_pass(baskets: DataFrame, support: int, parts: int, longest: int | None = None) -> DataFrame:
