@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
+from millrace.operators.meetings import meeting_counts
 from millrace.scratch import checkpointed, materialize
 
 #: Edges that are sent to every task of the per-source search, at most.
@@ -22,10 +23,8 @@ TIE = 1e-8
 
 def cooccurrence(pairs: DataFrame, member: str, group: str, at_least: int) -> DataFrame:
     """(src, dst, n): members that share ``at_least`` groups."""
-    table = pairs.select(F.col(member).alias("m"), F.col(group).alias("g")).distinct()
-    left, right = table.withColumnRenamed("m", "src"), table.withColumnRenamed("m", "dst")
-    counted = left.join(right, "g").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= at_least)
+    counted = meeting_counts(pairs, member, group, at_least, distinct=True)
+    return counted.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("common").alias("n"))
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
