@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from millrace.operators.meetings import meetings, wide
 from millrace.operators.similarity import dense_index, similar_pairs
+from millrace.scratch import materialize
 
 CENTRE = 3.0
 FLAT = 1e-9
@@ -40,12 +42,11 @@ def _pearson(pairs: DataFrame) -> DataFrame:
 def item_model(ratings: DataFrame, above: float = 1e-4) -> DataFrame:
     """(a, b, common, sim), a < b, of items with three common raters at least.
 
-    Pairs come from a join on the rater: items without a common rater never
-    meet. ``ratings`` must hold one row for each (user, item).
+    Pairs come from the lists of a rater's items: items without a common rater
+    never meet. ``ratings`` must hold one row for each (user, item).
     """
-    left = ratings.select("user_id", F.col("item_id").alias("a"), F.col("stars").alias("x"))
-    right = ratings.select("user_id", F.col("item_id").alias("b"), F.col("stars").alias("y"))
-    return _pearson(left.join(right, "user_id").where("a < b")).where(F.round("sim", 9) > above)
+    found = _pearson(meetings(ratings, "item_id", "user_id", value="stars")).where(F.round("sim", 9) > above)
+    return wide(found, ratings, "item_id")
 
 
 def user_model(ratings: DataFrame, jaccard_at_least: float = 0.01, at_least: float = 1e-6, hashes: int = 50) -> DataFrame:
@@ -55,7 +56,7 @@ def user_model(ratings: DataFrame, jaccard_at_least: float = 0.01, at_least: flo
     members = ratings.select(F.col("user_id").alias("owner"), F.col("item_id").alias("member"))
     if not isinstance(members.schema["member"].dataType, IntegralType):
         members = members.join(dense_index(members, "member"), "member").select("owner", F.col("idx").alias("member"))
-    near = similar_pairs(members, jaccard_at_least, hashes).where(F.col("common") >= MIN_COMMON).select("a", "b")
+    near = materialize(similar_pairs(members, jaccard_at_least, hashes, least_common=MIN_COMMON).select("a", "b"))
     left = ratings.select(F.col("user_id").alias("a"), "item_id", F.col("stars").alias("x"))
     right = ratings.select(F.col("user_id").alias("b"), "item_id", F.col("stars").alias("y"))
     return _pearson(near.join(left, "a").join(right, ["b", "item_id"])).where(F.round("sim", 9) >= at_least)
@@ -82,6 +83,12 @@ def predict_by_items(pairs: DataFrame, ratings: DataFrame, model: DataFrame, n:
     return best.groupBy("user_id", "item_id").agg((F.sum(F.col("sim") * F.col("stars")) / F.sum("sim")).alias("pred"))
 
 
+def _meeting(left: DataFrame, right: DataFrame, key: str) -> int:
+    """Rows of the join by ``key``, from the keys' numbers alone."""
+    sides = [t.groupBy(key).agg(F.count("*").alias(n)) for t, n in ((left, "n"), (right, "m"))]
+    return sides[0].join(sides[1], key).agg(F.sum(F.col("n") * F.col("m")).alias("r")).first()["r"] or 0
+
+
 def predict_by_users(pairs: DataFrame, ratings: DataFrame, model: DataFrame, n: int = 5) -> DataFrame:
     """(user_id, item_id, pred): the user's mean plus the weighted deviations of
     the n most similar users who rated the item from their means; without any,
@@ -91,11 +98,12 @@ def predict_by_users(pairs: DataFrame, ratings: DataFrame, model: DataFrame, n:
     deviations = ratings.join(means, "user_id").select(
         F.col("user_id").alias("other"), "item_id", (F.col("stars") - F.col("mean")).alias("d")
     )
-    near = (
-        wanted.join(deviations, "item_id")
-        .join(both_ways(model).withColumnRenamed("me", "user_id"), ["user_id", "other"])
-        .withColumn("sim", F.round("sim", 9))
-    )
+    ways = both_ways(model).withColumnRenamed("me", "user_id")
+    if _meeting(wanted, ways, "user_id") < _meeting(wanted, ratings, "item_id"):
+        near = wanted.join(ways, "user_id").join(deviations, ["item_id", "other"])
+    else:
+        near = wanted.join(deviations, "item_id").join(ways, ["user_id", "other"])
+    near = near.withColumn("sim", F.round("sim", 9))
     order = Window.partitionBy("user_id", "item_id").orderBy(F.desc("sim"), "other")
     best = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
     shift = best.groupBy("user_id", "item_id").agg((F.sum(F.col("sim") * F.col("d")) / F.sum(F.abs("sim"))).alias("shift"))

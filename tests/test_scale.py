@@ -1,10 +1,13 @@
 """What an operator moves and holds grows no faster than its input."""
 
 import itertools
+import math
+import random
+import re
 
 import pytest
 
-from millrace.operators import itemsets
+from millrace.operators import graph, itemsets, meetings, ratings, similarity
 
 
 def rows(frame):
@@ -47,3 +50,86 @@ def test_equal_baskets_are_extended_once(spark, written):
     assert {tuple(r)[:-1]: r["n"] for level in itemsets.frequent_sets(baskets, 60) for r in level.collect()} == expected
     # 10 different baskets of 5 items in 2 parts have 640 subsets, 300 baskets would have 9600
     assert max(counts) <= 640
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+PAIRS_MOVED = re.compile(r"Exchange hashpartitioning\(\w+#\d+L?, \w+#\d+L?, ")
+
+
+@pytest.fixture(params=[False, True])
+def small_parts(monkeypatch, request):
+    """Once as it is, once with lists cut into chunks and pairs into parts."""
+    if request.param:
+        monkeypatch.setattr(meetings, "CHUNK", 3)
+        monkeypatch.setattr(meetings, "PAIRS_PER_TASK", 20)
+
+
+def sets_of(seed, owners=25, of=14, n=7):
+    rng = random.Random(seed)
+    return {o * 3: {rng.randrange(of) for _ in range(n)} for o in range(owners)}
+
+
+def test_cooccurrence_moves_lists_not_pairs(spark, small_parts):
+    sets = sets_of(11)
+    for kind in ("long", "string"):
+        name = str if kind == "string" else int
+        data = [(name(o), m) for o, s in sets.items() for m in s]
+        found = graph.cooccurrence(spark.createDataFrame(data + data[:9], f"u {kind}, p long"), "u", "p", 4)
+        assert not PAIRS_MOVED.search(plan(found))
+        assert found.schema["src"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+        expected = [(name(min(a, b, key=name)), name(max(a, b, key=name)), len(sets[a] & sets[b])) for a, b in itertools.combinations(sets, 2)]
+        assert rows(found) == sorted(x for x in expected if x[2] >= 4)
+
+
+def test_item_model_moves_lists_not_pairs(spark, small_parts):
+    rng = random.Random(4)
+    stars = {(u, i): float(rng.randint(1, 5)) for u in range(12) for i in rng.sample(range(9), 6)}
+    model = ratings.item_model(spark.createDataFrame([(u, i, s) for (u, i), s in stars.items()], "user_id long, item_id long, stars double"))
+    assert not PAIRS_MOVED.search(plan(model))
+    expected = {}
+    for a, b in itertools.combinations(range(9), 2):
+        both = [(stars[u, a], stars[u, b]) for u in range(12) if (u, a) in stars and (u, b) in stars]
+        n = len(both)
+        if n >= 3:
+            mx, my = sum(x for x, _ in both) / n, sum(y for _, y in both) / n
+            vx, vy = sum((x - mx) ** 2 for x, _ in both), sum((y - my) ** 2 for _, y in both)
+            sim = sum((x - mx) * (y - my) for x, y in both) / math.sqrt(vx * vy) if vx * vy > 1e-9 else 0.0
+            if sim > 1e-4:
+                expected[a, b] = (n, round(sim, 6))
+    assert {(r["a"], r["b"]): (r["common"], round(r["sim"], 6)) for r in model.collect()} == expected
+
+
+@pytest.mark.parametrize("hashes", [3, 50])
+def test_similar_pairs_move_no_candidates(spark, small_parts, hashes):
+    sets = sets_of(8)
+    frame = spark.createDataFrame([(o, m) for o, s in sets.items() for m in s], "owner long, member long")
+    found = similarity.similar_pairs(frame, 0.4, hashes, least_common=3)
+    assert "band#" not in plan(found)
+    lows = {o: [min((m * a + b) % similarity.PRIME for m in s) for a, b in similarity.coefficients(hashes)] for o, s in sets.items()}
+    expected = []
+    for a, b in itertools.combinations(sets, 2):
+        common, whole = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if common >= 3 and common / whole >= 0.4 and any(x == y for x, y in zip(lows[a], lows[b], strict=True)):
+            expected.append((a, b, common, round(common / whole, 9)))
+    assert sorted((r["a"], r["b"], r["common"], round(r["sim"], 9)) for r in found.collect()) == expected
+
+
+def test_minima_meet_only_the_owners_dealt_to_a_task(spark):
+    members = spark.range(40).selectExpr("id % 8 owner", "id member")
+    text = plan(similarity.signatures(members))
+    assert "partial_min" in text and "partial_min" not in text.rsplit("Exchange", 1)[1]
+
+
+def test_user_predictions_are_the_same_in_either_order(spark, monkeypatch):
+    rng = random.Random(6)
+    frame = spark.createDataFrame([(u, i, float(rng.randint(1, 5))) for u in range(9) for i in rng.sample(range(8), 5)], "user_id long, item_id long, stars double")
+    pairs = spark.createDataFrame([(u, i) for u in range(10) for i in range(9)], "user_id long, item_id long")
+    model = spark.createDataFrame([(a, b, 3, 0.1 * (a + b)) for a in range(4) for b in range(a + 1, 6)], "a long, b long, common long, sim double")
+    found = []
+    for smaller in ("user_id", "item_id"):
+        monkeypatch.setattr(ratings, "_meeting", lambda left, right, key, smaller=smaller: 0 if key == smaller else 1)
+        found.append([(r["user_id"], r["item_id"], round(r["pred"], 9)) for r in sorted(ratings.predict_by_users(pairs, frame, model).collect())])
+    assert found[0] == found[1] and found[0]
