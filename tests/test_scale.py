@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from millrace.operators import graph, itemsets, meetings, ratings, similarity
+from millrace.operators import graph, itemsets, meetings, profiles, ratings, similarity
 
 
 def rows(frame):
@@ -133,3 +133,35 @@ def test_user_predictions_are_the_same_in_either_order(spark, monkeypatch):
         monkeypatch.setattr(ratings, "_meeting", lambda left, right, key, smaller=smaller: 0 if key == smaller else 1)
         found.append([(r["user_id"], r["item_id"], round(r["pred"], 9)) for r in sorted(ratings.predict_by_users(pairs, frame, model).collect())])
     assert found[0] == found[1] and found[0]
+
+
+def test_user_profiles_move_lists_of_terms(spark):
+    pairs = [(u, d) for u in range(6) for d in range(u, u + 4)] + [(0, 1)]
+    terms = [(d, (d * 5 + j) % 11) for d in range(8) for j in range(4)]
+    users = profiles.user_profiles(spark.createDataFrame(pairs, "user long, doc long"), spark.createDataFrame(terms, "doc long, term int"))
+    assert not re.search(r"Exchange hashpartitioning\(user#\d+L?, term#", plan(users))
+    expected = {(u, t) for u, d in pairs for e, t in terms if d == e}
+    assert rows(users) == sorted(expected)
+    docs = spark.createDataFrame(terms, "doc long, term int")
+    asked = spark.createDataFrame([(0, 0), (5, 1), (9, 0)], "user long, doc long")
+    found = profiles.profile_cosine(asked, users, docs, 0.01)
+    assert not re.search(r"hashpartitioning\(doc#\d+L?, term#", plan(found))
+    mine = {u: {t for v, t in expected if v == u} for u in range(6)}
+    held = {d: {t for e, t in terms if e == d} for d in range(8)}
+    scores = [(u, d, round(len(mine[u] & held[d]) / math.sqrt(len(mine[u]) * len(held[d])), 9)) for u, d in ((0, 0), (5, 1)) if mine[u] & held[d]]
+    assert [(u, d, round(s, 9)) for u, d, s in rows(found)] == sorted(scores)
+
+
+def test_terms_have_a_bound_and_are_sent_to_every_task(spark):
+    docs = spark.createDataFrame([(1, "ab cd cd 7 x"), (2, "cd ef"), (2, "ef the")], "doc long, text string")
+    stop = spark.createDataFrame([("the",)], "word string")
+    counts = profiles.term_counts(docs, "doc", "text", stop)
+    assert rows(counts) == [(1, "ab", 1), (1, "cd", 2), (2, "cd", 1), (2, "ef", 2)]
+    numbers = profiles.numbered_terms(docs, "text", stop)
+    assert rows(numbers) == [("ab", 0), ("cd", 1), ("ef", 2)]
+    assert rows(profiles.term_counts(docs, "doc", "text", numbers=numbers)) == [(1, 0, 1), (1, 1, 2), (2, 1, 1), (2, 2, 2)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(profiles.term_weights(counts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
