@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 def constant(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values]) if len(values) else F.array().cast("array<double>")
+    """The values as one text that is folded to one literal before rows are read:
+    a literal for each would take a call each and be compiled one by one."""
+    if not len(values):
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from millrace.functions.vectors import constant
 from millrace.operators import graph, itemsets, meetings, profiles, ratings, similarity
 
 
@@ -165,3 +166,11 @@ def test_terms_have_a_bound_and_are_sent_to_every_task(spark):
         assert "SortMergeJoin" not in plan(profiles.term_weights(counts))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_constant_vectors_are_one_literal_and_exact(spark):
+    values = [0.1, -1e-300, 1 / 3, 5e300, 0.0, float("inf"), 2.0**-1074]
+    column = constant(values)
+    assert spark.range(1).select(column.alias("v")).first()["v"] == values
+    assert "array(" not in str(column)
+    assert spark.range(1).select(constant([]).alias("v")).first()["v"] == []
