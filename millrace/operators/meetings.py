@@ -26,7 +26,9 @@ def _lists(table: DataFrame, member: str, group: str, value: str | None = None,
     """(a, b) and the named extras, dealt by a: a member and the list of the
     members after it in one group."""
     extras = [c for c in (value, size) if c]
-    known = table.select(F.col(group).alias("g"), F.col(member).alias("m"), *extras).where("g is not null and m is not null").repartition("g")
+    # a given number is kept: compressed sizes, by which parts are put together otherwise, say little of the rows a task holds
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = table.select(F.col(group).alias("g"), F.col(member).alias("m"), *extras).where("g is not null and m is not null").repartition(tasks, "g")
     if distinct:
         known = known.distinct()
     entry = F.array_sort(F.collect_list(F.struct("m", *extras)))
